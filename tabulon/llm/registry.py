@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import hilbert_shards
+from tabulon.llm import hilbert_shards, quality_rules
 
 QUERIES = {
+    "op10_quality_rules": quality_rules.op10_quality_rules,
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
 }
 ORACLES: dict[str, str] = {}
