@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import hilbert_shards, quality_rules
+from tabulon.llm import hilbert_shards, quality_rules, warc_chunks
 
 QUERIES = {
+    "op4_warc_chunks": warc_chunks.op4_warc_chunks,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_chunks": warc_chunks.ORACLE,
+}

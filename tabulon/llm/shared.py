@@ -45,3 +45,11 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
+    """Batches sent to Python workers are held to so many bytes, however long the
+    texts; a smaller setting of the session stays."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    if spark.conf.get(key, None) in (None, str(2**31 - 1)):
+        spark.conf.set(key, str(most))
