@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import hilbert_shards, piece_codec, quality_rules, warc_chunks
+from tabulon.llm import hilbert_shards, one_bit_neighbours, piece_codec, quality_rules, warc_chunks
 
 QUERIES = {
+    "op8_one_bit_neighbours": one_bit_neighbours.op8_one_bit_neighbours,
     "op9_piece_codec": piece_codec.op9_piece_codec,
     "op4_warc_chunks": warc_chunks.op4_warc_chunks,
     "op10_quality_rules": quality_rules.op10_quality_rules,
