@@ -232,8 +232,11 @@ def fired(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = FIT_ROWS) -> list[Rule]:
     """Rules for documents labelled 0. Rows that fail the base rules are decided
     already and are not learned from."""
-    sample = with_statistics(fit_sample(docs, labels, label, limit)).where(~base_failed())
-    return learn([r.asDict() for r in sample.select("_label", *FEATURES).orderBy("doc_id").collect()])
+    # filtered here: a filter in the plan would move below the join and have
+    # every document's statistics computed
+    sample = with_statistics(fit_sample(docs, labels, label, limit)).select("doc_id", "_label", base_failed().alias("_failed"), *FEATURES)
+    rows = sorted((r.asDict() for r in sample.collect() if not r["_failed"]), key=lambda r: (r["doc_id"], *(r[f] for f in FEATURES)))
+    return learn(rows)
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
