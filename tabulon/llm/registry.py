@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import byte_language, hilbert_shards, one_bit_neighbours, piece_codec, quality_rules, warc_chunks
+from tabulon.llm import byte_language, gapped_toxicity, hilbert_shards, one_bit_neighbours, piece_codec, quality_rules, warc_chunks
 
 QUERIES = {
+    "op6_gapped_toxicity": gapped_toxicity.op6_gapped_toxicity,
     "op3_byte_language": byte_language.op3_byte_language,
     "op8_one_bit_neighbours": one_bit_neighbours.op8_one_bit_neighbours,
     "op9_piece_codec": piece_codec.op9_piece_codec,
