@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import byte_language, gapped_toxicity, hilbert_shards, one_bit_neighbours, piece_codec, quality_rules, warc_chunks
+from tabulon.llm import byte_language, gapped_toxicity, hilbert_shards, one_bit_neighbours, piece_codec, quality_rules, raked_mix, warc_chunks
 
 QUERIES = {
+    "op2_raked_mix": raked_mix.op2_raked_mix,
     "op6_gapped_toxicity": gapped_toxicity.op6_gapped_toxicity,
     "op3_byte_language": byte_language.op3_byte_language,
     "op8_one_bit_neighbours": one_bit_neighbours.op8_one_bit_neighbours,
@@ -14,5 +15,6 @@ QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
 }
 ORACLES: dict[str, str] = {
+    "op2_raked_mix": raked_mix.ORACLE,
     "op4_warc_chunks": warc_chunks.ORACLE,
 }
