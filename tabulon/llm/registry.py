@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabulon.llm import byte_language, gapped_toxicity, hilbert_shards, kneser_ney_quality, one_bit_neighbours, piece_codec, quality_rules, raked_mix, warc_chunks
+from tabulon.llm import byte_language, gapped_toxicity, hilbert_shards, kneser_ney_quality, one_bit_neighbours, piece_codec, prefix_jaccard, quality_rules, raked_mix, warc_chunks
 
 QUERIES = {
+    "op5_prefix_jaccard": prefix_jaccard.op5_prefix_jaccard,
     "op7_kneser_ney_quality": kneser_ney_quality.op7_kneser_ney_quality,
     "op2_raked_mix": raked_mix.op2_raked_mix,
     "op6_gapped_toxicity": gapped_toxicity.op6_gapped_toxicity,
