@@ -30,8 +30,10 @@ empty result; other columns are passed over.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,9 @@ CHUNK_SHINGLES, CHUNK_SETS = 250_000, 1200
 #: Family members are sent to the readers of texts up to this many; beyond, joined.
 SENT_MEMBERS = 400_000
 
+#: Bytes hashed together.
+BLOCK_BYTES = 1 << 19
+
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -66,42 +71,95 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (unsigned 64 bit) of each whole text.
-
-    Words of a batch are hashed together: a running sum of letter values times
-    powers of an odd number, differenced at word ends."""
-    data = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
-    flat = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
-    gap = SPACE[flat]
-    if gap.all():
-        return [np.empty(0, np.uint64) for _ in texts]
-    edge = np.flatnonzero(np.diff(gap, prepend=True))
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse, as many as a block has bytes."""
+    out = []
+    for base in (STEP, UNSTEP):
+        p = np.full(BLOCK_BYTES, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of at most BLOCK_BYTES bytes, and where they start: a
+    running sum of letter values times powers of an odd number, differenced at
+    word ends."""
+    flat = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(SPACE[flat], prepend=True, append=True))
     first, last = edge[::2], edge[1::2]
-    power = np.full(len(flat), STEP, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[flat] * power, dtype=np.uint64)])
-    back = np.full(len(flat), UNSTEP, np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    word = mix((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64) * PLACE[63])
-    owner = np.searchsorted(starts, first, "right") - 1
-    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    power, back = powers()
+    total = np.empty(len(flat) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(LETTER[flat] * power[: len(flat)], out=total[1:])
+    return mix((total[last] - total[first]) * back[first] + (last - first).astype(np.uint64) * PLACE[63]), first
+
+
+def long_text_words(data: bytes) -> np.ndarray:
+    """Word hashes of a text of any length, block by block, cut between words. A
+    word longer than a block is hashed by its digest."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK_BYTES)
+        if end < len(data):
+            gaps = np.flatnonzero(SPACE[np.frombuffer(data[at:end], np.uint8)])
+            if not len(gaps):
+                while end < len(data) and not SPACE[data[end]]:
+                    end += 1
+                digest = hashlib.blake2b(data[at:end], digest_size=8).digest()
+                out.append(np.frombuffer(digest, np.uint64))
+                at = end
+                continue
+            end = at + int(gaps[-1]) + 1
+        out.append(word_hashes(data[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingles(word: np.ndarray, size: int) -> np.ndarray:
     whole = max(0, len(word) - size + 1)
-    shingle = np.zeros(whole, np.uint64)
+    out = np.zeros(whole, np.uint64)
     for k in range(size):
-        shingle += word[k : k + whole] * PLACE[k]
-    shingle = mix(shingle)
-    out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b - a >= size:
-            out.append(np.unique(shingle[a : b - size + 1]))
-        elif b > a:
-            out.append(mix((word[a:b] * PLACE[32 : 32 + b - a]).sum(dtype=np.uint64, keepdims=True)))
+        out += word[k : k + whole] * PLACE[k]
+    return mix(out)
+
+
+def one_set(word: np.ndarray, windows: np.ndarray, size: int) -> np.ndarray:
+    if len(word) >= size:
+        return np.unique(windows)
+    return mix((word * PLACE[32 : 32 + len(word)]).sum(dtype=np.uint64, keepdims=True)) if len(word) else word
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (unsigned 64 bit) of each whole text. Short
+    texts are hashed together, a block at a time."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    total = 0
+
+    def flush() -> None:
+        word, first = word_hashes(b"\n".join(held) + b"\n")
+        windows = shingles(word, size)
+        starts = np.cumsum([0] + [len(d) + 1 for d in held])
+        bounds = np.searchsorted(first, starts)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            out.append(one_set(word[a:b], windows[a : max(a, b - size + 1)], size))
+        held.clear()
+
+    for t in texts:
+        data = (t or "").encode("utf-8", "surrogatepass").translate(LOWER)
+        if held and total + len(data) + 1 > BLOCK_BYTES:
+            flush()
+            total = 0
+        if len(data) >= BLOCK_BYTES:
+            word = long_text_words(data)
+            out.append(one_set(word, shingles(word, size), size))
         else:
-            out.append(np.empty(0, np.uint64))
+            held.append(data)
+            total += len(data) + 1
+    if held:
+        flush()
     return out
 
 

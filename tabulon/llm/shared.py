@@ -51,5 +51,6 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     """Batches sent to Python workers are held to so many bytes, however long the
     texts; a smaller setting of the session stays."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
-    if spark.conf.get(key, None) in (None, str(2**31 - 1)):
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
