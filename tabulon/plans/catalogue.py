@@ -126,7 +126,7 @@ def src_rows(spark, d):
 PEOPLE = Schema(columns(("id", D.U64), ("name", D.STRING, "display_name"), ("score", D.I32, None, True)))
 
 
-@query("SELECT * FROM (VALUES (7::DECIMAL(20,0), 'Ada', 42, 0::BIGINT), (8, 'Grace', NULL, 1), (18446744073709551615, 'Max', -1, 2)) t(id, name, score, pos)")
+@query("SELECT id::DECIMAL(20,0) AS id, name, score, pos FROM (VALUES (7, 'Ada', 42, 0::BIGINT), (8, 'Grace', NULL, 1), (18446744073709551615, 'Max', -1, 2)) t(id, name, score, pos)")
 def src_push_row(spark, d):
     t = Table.from_rows(spark, PEOPLE, [(7, "Ada", 42), (8, "Grace", None), (Value(D.U64, 2**64 - 1), "Max", Value(D.I32, -1))])
     return t.frame.withColumnRenamed(POS, "pos")
