@@ -87,7 +87,7 @@ def checked(statement: Statement, arguments: Arguments) -> dict[str, Value]:
     if named and len(named) != len(arguments):
         raise SqlError.MixedArguments()
     given = "none" if not len(arguments) else "named" if named else "positional"
-    if given != statement.mode and not (given == "none" and statement.mode != "none"):
+    if given != statement.mode:
         raise SqlError.ModeMismatch(expected=statement.mode, actual=given)
     if statement.mode == "positional":
         if len(arguments) != statement.slots:
