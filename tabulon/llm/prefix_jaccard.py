@@ -48,7 +48,7 @@ HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
 #: The sketch: counters, each one byte on the workers (16 MB, whatever the input).
 SKETCH_BITS, SLICE_BITS = 24, 18
 #: Shingles and classes of a chunk of a family, about.
-CHUNK_SHINGLES, CHUNK_SETS = 250_000, 1200
+CHUNK_SHINGLES, CHUNK_SETS = 250_000, 800
 #: Family members are sent to the readers of texts up to this many; beyond, joined.
 SENT_MEMBERS = 400_000
 
