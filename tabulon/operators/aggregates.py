@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,110 @@ def distinct_keys(c: str) -> Column:
     return F.countDistinct(c)
 
 
-def summary(frame: DataFrame, columns: dict[str, DataType]) -> DataFrame:
-    """average, minimum, maximum and median of each column, in one aggregation."""
+#: Values up to which a median is one aggregate; beyond, Spark's exact median would
+#: hold every distinct value in one task, and the search below is used.
+SMALL = 2_000_000
+
+
+def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[str, float | None]:
+    """Exact medians of columns of any size.
+
+    Sketches of fixed size bracket the middle ranks, one pass counts what lies at
+    and under the bracket's ends, and brackets shrink until few enough values are
+    left to sort."""
+    counts = frame.agg(*[F.count(c).alias(c) for c in columns]).first()
+    out: dict[str, float | None] = {c: None for c in columns if not counts[c]}
+    few = [c for c in columns if 0 < counts[c] <= small]
+    if few:
+        out |= frame.agg(*[F.median(c).alias(c) for c in few]).first().asDict()
+    sought = [Rank(c, k, counts[c]) for c in columns if counts[c] > small for k in dict.fromkeys(((counts[c] - 1) // 2, counts[c] // 2))]
+    select_ranks(frame, sought, small)
+    for c in columns:
+        if counts[c] > small:
+            found = [float(r.value) for r in sought if r.column == c]
+            out[c] = sum(found) / len(found)
+    return out
+
+
+@dataclass
+class Rank:
+    """The search for the rank-th value of a column (from 0): it lies strictly
+    between two bounds, with ``under`` values at or below the lower one and
+    ``held`` between them."""
+
+    column: str
+    rank: int
+    held: int
+    under: int = 0
+    low: object = None
+    high: object = None
+    value: object = None
+
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        ok = c.isNotNull()
+        if self.low is not None:
+            ok = ok & (c > F.lit(self.low))
+        return ok & (c < F.lit(self.high)) if self.high is not None else ok
+
+    def narrow(self, a, b, lt_a: int, le_a: int, lt_b: int, le_b: int) -> None:
+        """Two values within, and how many within lie under and up to each."""
+        at = self.rank - self.under
+        if at < lt_a:
+            self.high, self.held = a, lt_a
+        elif at < le_a:
+            self.value = a
+        elif at < lt_b:
+            self.low, self.high, self.under, self.held = a, b, self.under + le_a, lt_b - le_a
+        elif at < le_b:
+            self.value = b
+        else:
+            self.low, self.under, self.held = b, self.under + le_b, self.held - le_b
+
+
+def select_ranks(frame: DataFrame, sought: list[Rank], small: int) -> None:
+    """Finds every rank's value. A round drops its bracket's ends, ties and all,
+    so it ends however the values are spread."""
+    while open_ := [r for r in sought if r.value is None]:
+        few = [r for r in open_ if r.held <= small]
+        for r in few:
+            values = frame.where(r.inside()).agg(F.sort_array(F.collect_list(r.column)).alias("v"))
+            r.value = values.select(F.element_at("v", r.rank - r.under + 1)).first()[0]
+        wide = [r for r in open_ if r.value is None]
+        if not wide:
+            return
+        asked = []
+        for i, r in enumerate(wide):
+            at, gap = r.rank - r.under, r.held / 5_000 + 1
+            shares = [min(1.0, max(0.0, (at - gap) / r.held)), min(1.0, (at + gap) / r.held)]
+            asked.append(F.percentile_approx(F.when(r.inside(), F.col(r.column)), shares, 10_000).alias(f"p{i}"))
+        ends = frame.agg(*asked).first()
+        counted = []
+        for i, r in enumerate(wide):
+            c = F.col(r.column)
+            for name, end in (("a", ends[i][0]), ("b", ends[i][1])):
+                counted += [F.count(F.when(r.inside() & (c < F.lit(end)), 1)).alias(f"lt{name}{i}"), F.count(F.when(r.inside() & (c <= F.lit(end)), 1)).alias(f"le{name}{i}")]
+        told = frame.agg(*counted).first()
+        for i, r in enumerate(wide):
+            r.narrow(ends[i][0], ends[i][1], told[f"lta{i}"], told[f"lea{i}"], told[f"ltb{i}"], told[f"leb{i}"])
+
+
+def median_frame(frame: DataFrame, names: dict[str, str], small: int = SMALL) -> DataFrame:
+    """One row with the exact median of each column under a name."""
+    found = medians(frame, list(names), small)
+    return frame.sparkSession.range(1).select(*[F.lit(found[c]).cast("double").alias(n) for c, n in names.items()])
+
+
+def summary(frame: DataFrame, columns: dict[str, DataType], small: int = SMALL) -> DataFrame:
+    """average, minimum, maximum and median of each column: one aggregation, and
+    the median search where there are many values."""
     told = []
     for c, kind in columns.items():
-        told += [average(c, kind).alias(f"{c}_avg"), minimum(c, kind).alias(f"{c}_min"), maximum(c, kind).alias(f"{c}_max"), median(c).alias(f"{c}_median")]
-    return frame.agg(*told)
+        told += [average(c, kind).alias(f"{c}_avg"), minimum(c, kind).alias(f"{c}_min"), maximum(c, kind).alias(f"{c}_max")]
+    if frame.count() <= small:
+        return frame.agg(*told, *[median(c).alias(f"{c}_median") for c in columns])
+    found = medians(frame, list(columns), small)
+    return frame.agg(*told).withColumns({f"{c}_median": F.lit(v).cast("double") for c, v in found.items()})
 
 
 def fold_saturating(frame: DataFrame, c: str, kind: DataType, start: int = 0, order: str = "_pos") -> int:

@@ -48,9 +48,15 @@ class ColumnIndex:
     def null_rows(self) -> DataFrame:
         return self.table.frame.where(F.col(self.spec.name).isNull()).select(POS).orderBy(POS)
 
-    def groups(self) -> DataFrame:
-        """key and its sorted positions, nulls apart."""
-        return self.table.frame.where(F.col(self.spec.name).isNotNull()).groupBy(F.col(self.spec.name).alias("key")).agg(F.sort_array(F.collect_list(POS)).alias("positions"))
+    def groups(self, span: int | None = None) -> DataFrame:
+        """key and its sorted positions, nulls apart. With ``span`` a key's list is
+        cut by ranges of so many positions (``part``), so that no key, however
+        common, is one list in one task."""
+        rows = self.table.frame.where(F.col(self.spec.name).isNotNull()).withColumn("key", F.col(self.spec.name))
+        keys = ["key"]
+        if span is not None:
+            rows, keys = rows.withColumn("part", F.floor(F.col(POS) / F.lit(span))), ["key", "part"]
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(POS)).alias("positions"))
 
     def distinct_key_count(self) -> int:
         return self.table.frame.agg(F.countDistinct(self.spec.name).alias("n")).first()["n"]

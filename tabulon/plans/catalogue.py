@@ -528,7 +528,7 @@ def agg_max(spark, d):
 
 @query("SELECT median(l_quantity) AS quantity, median(l_partkey)::DOUBLE AS keys FROM lineitem")
 def agg_median(spark, d):
-    return lines(spark, d).agg(aggregates.median("l_quantity").alias("quantity"), aggregates.median("l_partkey").alias("keys"))
+    return aggregates.median_frame(lines(spark, d), {"l_quantity": "quantity", "l_partkey": "keys"})
 
 
 @query("SELECT max(nullif(o_custkey, 1499)) AS most FROM orders")

@@ -195,3 +195,22 @@ def test_frame_validation(spark):
     with pytest.raises(TableError.ColumnNotFound):
         Table.from_frame(df, Schema([ColumnSpec("none", D.U8)]), ["id"])
     assert Table.from_frame(df.limit(0), Schema([ColumnSpec("id", D.I32)]), ["id"]).is_empty
+
+
+def test_medians_of_many_values(spark):
+    import statistics
+
+    from tabulon.operators.aggregates import medians, summary
+
+    df = spark.range(4001).selectExpr("id", "cast((id * 48271) % 4001 as double) / 7 AS r", "if(id % 10 = 0, id, 5L) AS hot", "if(id % 3 = 0, null, id) AS holes", "cast(null as long) AS none", "if(id < 2001, 1L, 2L) AS two")
+    rows = df.collect()
+    want = {c: statistics.median([r[c] for r in rows if r[c] is not None]) if c != "none" else None for c in df.columns}
+    assert medians(df, df.columns, small=50) == want == medians(df, df.columns)
+    even = df.where("id < 4000")
+    assert medians(even, ["id"], small=10) == {"id": 1999.5}
+    assert summary(df, {"id": D.I64, "r": D.F64}, small=100).collect() == summary(df, {"id": D.I64, "r": D.F64}).collect()
+
+
+def test_index_groups_in_parts(spark):
+    t = numbers(spark, [i % 2 for i in range(20)])
+    assert sorted(tuple(map(str, r)) for r in t.index(0).groups(span=10).collect()) == sorted((str(k), str(p), str([x for x in range(20) if x % 2 == k and x // 10 == p])) for k in (0, 1) for p in (0, 1))
