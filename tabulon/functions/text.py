@@ -95,12 +95,21 @@ def percent_encode_text(text: str) -> str:
 
 def percent_decode(text: Column) -> Column:
     """Plus is a space; a malformed escape fails with its byte offset, then bytes
-    that are not UTF-8 fail."""
+    that are not UTF-8 fail.
+
+    Spark's decoder is right for well-formed text but for putting U+FFFD where
+    bytes are not UTF-8; a result that has one is decoded again byte by byte."""
+    return _one(text, _percent_decoded)
+
+
+def _percent_decoded(text: Column) -> Column:
     bad = r"%(?![0-9A-Fa-f]{2})"
-    parts = F.regexp_extract_all(F.replace(text, F.lit("+"), F.lit(" ")), F.lit(r"(?s)(%[0-9A-Fa-f]{2}|.)"), F.lit(1))
-    digits = F.transform(parts, lambda p: F.when((F.length(p) == 3) & p.startswith("%"), F.substring(p, 2, 2)).otherwise(F.hex(F.encode(p, "UTF-8"))))
+    pieces = F.split(F.replace(text, F.lit("+"), F.lit(" ")), "%", -1)
+    tail = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.concat(F.substring(p, 1, 2), F.hex(F.encode(F.substring(p, F.lit(3), F.length(p)), "UTF-8"))))
+    digits = F.concat(F.hex(F.encode(F.get(pieces, F.lit(0)), "UTF-8")), F.array_join(tail, ""))
+    by_bytes = F.validate_utf8(F.unhex(digits).cast("string"))
+    decoded = _one(F.url_decode(text), lambda d: F.when(d.contains("\ufffd"), by_bytes).otherwise(d))
     place = F.octet_length(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(bad)) - 1))
-    decoded = F.validate_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
     return F.when(text.isNotNull(), F.when(~text.rlike("[%+]"), text).otherwise(_checked(~text.rlike(bad), decoded, F.concat(F.lit("malformed escape at byte "), place.cast("string")))))
 
 

@@ -48,7 +48,7 @@ def distinct_keys(c: str) -> Column:
 
 #: Values up to which a median is one aggregate; beyond, Spark's exact median would
 #: hold every distinct value in one task, and the search below is used.
-SMALL = 2_000_000
+SMALL = 200_000
 
 
 def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[str, float | None]:
@@ -120,9 +120,9 @@ def select_ranks(frame: DataFrame, sought: list[Rank], small: int) -> None:
             return
         asked = []
         for i, r in enumerate(wide):
-            at, gap = r.rank - r.under, r.held / 5_000 + 1
+            at, gap = r.rank - r.under, r.held / 1_000 + 1
             shares = [min(1.0, max(0.0, (at - gap) / r.held)), min(1.0, (at + gap) / r.held)]
-            asked.append(F.percentile_approx(F.when(r.inside(), F.col(r.column)), shares, 10_000).alias(f"p{i}"))
+            asked.append(F.percentile_approx(F.when(r.inside(), F.col(r.column)), shares, 2_000).alias(f"p{i}"))
         ends = frame.agg(*asked).first()
         counted = []
         for i, r in enumerate(wide):

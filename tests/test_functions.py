@@ -32,6 +32,8 @@ def test_percent(spark):
     assert one(spark, text.percent_encode, "hello world/é~!") == ["hello%20world%2F%C3%A9%7E!"]
     assert one(spark, text.percent_encode, *TEXTS) == [text.percent_encode_text(t) for t in TEXTS]
     assert one(spark, text.percent_decode, "a+b", "plain", "%C3%A9%41", None) == ["a b", "plain", "éA", None]
+    assert one(spark, text.percent_decode, "a%EF%BF%BDb+%25é", "%F0%9F%98%80+\ufffd") == ["a\ufffdb %é", "😀 \ufffd"]
+    fails(spark, text.percent_decode, "x%C3+%41")
     fails(spark, text.percent_decode, "bad%2", "at byte 3")
     fails(spark, text.percent_decode, "é%zz", "at byte 2")
     fails(spark, text.percent_decode, "%FF")
