@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
-from tabulon.llm.shared import bounded_batches, table, written
+from tabulon.llm.shared import bounded_batches, join_counted, table, written
 
 #: Classes of one token that still give pairs; candidates of l worth trying.
 HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
@@ -411,8 +411,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     placed = named.join(least, "root").select("node", "component_id")
     links = told.groupBy(F.col("sid").alias("node")).agg(F.sum("links").alias("links"))
-    by_class = classes.select(F.col("sid").alias("node"), "copies", "doc_id").join(placed, "node", "left").join(links, "node", "left").select(F.col("node").alias("sid"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("doc_id", "sid", "n").join(by_class, "sid", "left")
+    by_class = classes.select(F.col("sid").alias("node"), "copies", "doc_id").join(placed, "node", "left").join(links, "node", "left").select(F.col("node").alias("sid"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_copies"))
+    out = join_counted(sets.select("doc_id", "sid", "n"), written(by_class, "by-class"), "sid", "_copies", "doc_id")
     empty = F.col("n") == 0
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
 

@@ -54,3 +54,24 @@ def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
     now = spark.conf.get(key, None)
     if now is None or not now.isdigit() or int(now) > most:
         spark.conf.set(key, str(most))
+
+
+#: Keys that are dealt over salts are at most so many, whatever the input.
+SALTED_KEYS = 100_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str, spread: str, how: str = "left") -> DataFrame:
+    """rows joined with keyed, which has one row for each key and, in ``count``,
+    how many rows the key has. Keys of very many rows are dealt by a hash of the
+    column ``spread`` over as many parts as they need, so none of them is one
+    task's. A key is dealt if it has over one row in SALTED_KEYS (and over 1,024):
+    at most SALTED_KEYS keys, whose list is broadcast."""
+    total = keyed.agg(F.sum(count).alias("n")).first()["n"] or 0
+    part = max(1024, -(-total // SALTED_KEYS))
+    hot = keyed.where(F.col(count) > part).select(key, F.ceil(F.col(count) / F.lit(part)).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return rows.join(keyed, key, how)
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    parts = F.when(F.col(count) > part, F.ceil(F.col(count) / F.lit(part))).otherwise(F.lit(1)).cast("int")
+    right = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [key, "_part"], how).drop("_part")
