@@ -23,7 +23,6 @@ repeated rows score alike; an empty table, or no labels to learn from, gives
 from __future__ import annotations
 
 import pickle
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -173,7 +172,7 @@ def _ready(blob: bytes) -> tuple[Network, list[list[np.ndarray]]]:
 
 
 def has_letter(text: str) -> bool:
-    return any(map(str.isalpha, text[:4096])) or any(map(str.isalpha, text)) or any(unicodedata.category(c)[0] == "L" for c in text)
+    return any(map(str.isalpha, text))
 
 
 def predict(texts: list[str | None], blob: bytes) -> tuple[list[str], np.ndarray]:

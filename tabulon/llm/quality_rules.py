@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import SPACE_CLASS, table, words
+from tabulon.llm.shared import table, words
 
 #: Learning reads at most this many labelled documents, those with the lowest
 #: hash of doc_id. Fitting only; scoring and statistics cover every row.

@@ -134,12 +134,13 @@ def raked_weights(cells: DataFrame, targets: dict[str, dict[str, float]] | None
     return rows.select(*named, F.col("z.c.tokens").cast("long").alias("tokens"), F.col("z.w").alias("weight"), F.coalesce(F.try_divide(F.col("z.w"), F.col("most")), F.lit(0.0)).alias("probability"))
 
 
-def with_probability(rows: DataFrame, cells: DataFrame, names: list[str]) -> DataFrame:
-    """rows with their cell's probability; cells is at most MAX_CELLS rows."""
+def with_probability(rows: DataFrame, cells: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows with their cell's ``_probability``; names maps the margins to rows'
+    columns, cells is at most MAX_CELLS rows."""
     told = F.broadcast(cells.select(*[F.col(d).alias(f"_c_{d}") for d in names], F.col("probability").alias("_probability")))
     match = F.lit(True)
-    for d in names:
-        match = match & F.col(d).eqNullSafe(F.col(f"_c_{d}"))
+    for d, own in names.items():
+        match = match & rows[own].eqNullSafe(told[f"_c_{d}"])
     return rows.join(told, match, "left").drop(*[f"_c_{d}" for d in names])
 
 
@@ -152,12 +153,8 @@ def mixed(docs: DataFrame, seed: int = 1, targets: dict[str, dict[str, float]] |
     cells = cells_of(docs.select("source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens")))
     weights = written(raked_weights(written(cells, "mix-cells"), targets), "mix-weights")
     placed = docs.withColumn("_topic", topic_of(F.col("text")))
-    names = {"source": "source", "lang": "lang", "topic": "_topic"}
-    told = F.broadcast(weights.select(*[F.col(d).alias(f"_c_{d}") for d in names], F.col("probability").alias("_probability")))
-    match = F.lit(True)
-    for d, own in names.items():
-        match = match & placed[own].eqNullSafe(F.col(f"_c_{d}"))
-    return placed.join(told, match).where(uniform(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
+    told = with_probability(placed, weights, {"source": "source", "lang": "lang", "topic": "_topic"})
+    return told.where(uniform(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
 
 
 def op2_raked_mix(spark: SparkSession, sf_dir: str, seed: int = 1) -> DataFrame:
@@ -165,7 +162,7 @@ def op2_raked_mix(spark: SparkSession, sf_dir: str, seed: int = 1) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     narrow = written(docs, "mix-rows")
     weights = written(raked_weights(written(cells_of(narrow), "mix-cells")), "mix-weights")
-    told = with_probability(narrow, weights, list(MARGINS))
+    told = with_probability(narrow, weights, {d: d for d in MARGINS})
     return told.select("doc_id", "source", "lang", "topic", "tokens", F.round("_probability", 9).alias("probability"), (uniform(F.col("doc_id"), seed) < F.col("_probability")).alias("kept"))
 
 
