@@ -11,8 +11,8 @@ an incremental SHA-256, keeping the hash state and one header between them.
 Equal payloads are found by digest. The first page by id holds the payload; the
 others become revisit records that refer to it and carry only HTTP headers, of
 which Content-Length is the full payload's. Roles come from a grouped minimum
-(partial sums before the shuffle) joined back on narrow rows; the payload column
-takes part in one join, on the page id.
+joined back on narrow rows, large groups over salts; payloads are shuffled at
+most once, by page id and digest, and not at all where revisits are few.
 
 Defined results: null payload is an empty one; null URL is written as
 ``urn:page:<id>``; a null page id gets no record (it cannot be named) and is
@@ -29,10 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import bounded_batches, fresh_path, table
+from tabulon.llm.shared import bounded_batches, fresh_path, join_counted, table, written
 
 CHUNK_BYTES = 256 * 1024
 MIN_REVISIT_BYTES = 100
+#: Revisits are sent to the readers of payloads up to so many (about 20 MB);
+#: beyond, payloads are shuffled to them.
+SENT_ROLES = 200_000
 #: Fixed values of the format.
 VERSION, CRLF, END = "WARC/1.1", "\r\n", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,12 +57,21 @@ def urn_page(urn: str) -> int:
 
 def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """pages (page_id, url, payload binary) with payload_bytes, payload_digest,
-    record_type and refers_to."""
+    record_type and refers_to.
+
+    Groups of equal payloads are found on rows of id and digest; a large group is
+    dealt over salts. Payloads meet their roles by page id and digest, which no
+    group shares."""
     told = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    firsts = told.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    out = told.join(firsts, "payload_digest", "left")
-    again = F.col("_first").isNotNull() & (F.col("_first") != F.col("page_id"))
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first")
+    narrow = told.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest").distinct()
+    firsts = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    firsts = written(firsts, "firsts")
+    roles = join_counted(narrow, firsts, "payload_digest", "_n", "page_id", "inner").where("page_id <> _first").select("page_id", "payload_digest", "_first")
+    roles = written(roles, "roles")
+    few = roles.count() <= SENT_ROLES
+    out = told.join(F.broadcast(roles) if few else roles, ["page_id", "payload_digest"], "left")
+    again = F.col("_first").isNotNull()
+    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.col("_first")).drop("_first")
 
 
 def to_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, archives: int = 16) -> DataFrame:

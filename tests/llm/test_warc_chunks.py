@@ -1,7 +1,9 @@
 import hashlib
 import io
 
+import pytest
 from oracle import connection, same
+from pyspark.sql import functions as F
 
 from tabulon.llm import warc_chunks as w
 
@@ -17,7 +19,9 @@ def test_query_equals_its_oracle(spark, sf_dir):
     same(w.op4_warc_chunks(spark, sf_dir), connection(sf_dir), w.ORACLE)
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("sent", [w.SENT_ROLES, 0])
+def test_odd_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(w, "SENT_ROLES", sent)
     chunks = w.to_chunks(pages(spark, ODD), chunk_bytes=65_536, archives=1)
     rows = w.read_chunks(chunks).orderBy("record_id").collect()
     assert [r["record_id"] for r in rows] == [-7, 1, 1, 2, 3, 4, 5, 8] and all(r["intact"] for r in rows)
@@ -44,8 +48,12 @@ def test_export_is_a_warc_file(spark):
 
 
 def test_damage_is_found(spark):
-    import pyspark.sql.functions as F
-
     chunks = w.to_chunks(pages(spark, [(1, "u", "abc" * 100)]))
     bad = chunks.withColumn("data", F.encode(F.replace(F.decode("data", "UTF-8"), F.lit("abcabc"), F.lit("abcabd")), "UTF-8"))
     assert not w.read_chunks(bad).first()["intact"]
+
+
+def test_large_group_of_copies(spark):
+    rows = spark.range(6000).selectExpr("id AS page_id", "'u' AS url", "encode(if(id < 5000, repeat('same ', 30), repeat(string(id), 40)), 'UTF-8') AS payload")
+    told = w.with_roles(rows).groupBy("record_type").agg(F.max("refers_to"), F.count("page_id")).collect()
+    assert sorted((r[0], r[1], r[2]) for r in told) == [("response", None, 1001), ("revisit", 0, 4999)]
