@@ -30,3 +30,13 @@ def test_batch_bytes_only_go_down(spark):
 def test_the_session_names_the_folder(spark):
     assert shared.written(spark.range(3), "t").count() == 3
     assert shared.shared_dir(spark) == shared.shared_dir(spark)
+
+
+def test_written_tables_can_be_dropped(spark):
+    df = shared.written(spark.range(3), "gone")
+    assert df.count() == 3 and shared.drop_written(spark)
+    spark.catalog.clearCache()
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(shared.session_dir(spark))
