@@ -420,3 +420,23 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def op5_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 0.9 on three-word shingles."""
     return similar_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh
+  FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(sh)) AS h FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT ways.y, reach.r FROM reach JOIN ways ON ways.x = reach.doc_id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = n.doc_id) AS component_id,
+  (SELECT count(*) FROM ways WHERE ways.x = n.doc_id) AS n_links
+FROM n
+"""

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from oracle import connection, same
 
 from tabulon.llm import prefix_jaccard as p
 from tabulon.llm.components import components
@@ -71,6 +72,10 @@ def test_hot_family_over_chunks(spark, monkeypatch):
     compare(spark, rows, 3, 90)
 
 
+def test_query_equals_its_oracle(spark, sf_dir):
+    same(p.op5_prefix_jaccard(spark, sf_dir), connection(sf_dir), p.ORACLE)
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
     got = sorted(tuple(r) for r in p.similar_components(odd_documents, 3, 90).collect())
