@@ -80,6 +80,12 @@ def estimates(packed: np.ndarray, norms: np.ndarray, agreement: np.ndarray, quer
     return (turned @ signs.T) * scale[None, :], (lengths[:, None] * error[None, :]).astype(np.float32)
 
 
+def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, so that a pair
+    has one score whatever block it is in."""
+    return np.add.accumulate(vectors * query, axis=1)[:, -1]
+
+
 def block_best(vid: np.ndarray, vectors: np.ndarray, packed: np.ndarray, norms: np.ndarray, agreement: np.ndarray, qid: np.ndarray, queries: np.ndarray, k: int, eps: float, step: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, vector ids, exact scores) of each query's k best of a block."""
     turn = rotation(vectors.shape[1])
@@ -95,11 +101,12 @@ def block_best(vid: np.ndarray, vectors: np.ndarray, packed: np.ndarray, norms:
             floor = np.full(len(q), -np.inf, np.float32)
         for i in range(len(q)):
             picked = np.flatnonzero((high[i] >= floor[i]) & ~own[i])
-            scores = np.array([float(np.dot(v, q[i])) for v in vectors[picked]]) if len(picked) < 8 else vectors[picked] @ q[i]
-            if len(picked) > k:
-                # by score, then the smaller id; equal scores at the cut are all kept until then
-                order = np.lexsort((vid[picked], -scores))[:k]
-                picked, scores = picked[order], scores[order]
+            rough = vectors[picked] @ q[i]
+            if len(picked) > k:  # all that rounding could put among the k
+                picked = picked[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (1 + np.abs(rough).max())]
+            scores = exact_products(vectors[picked], q[i])
+            order = np.lexsort((vid[picked], -scores))[:k]
+            picked, scores = picked[order], scores[order]
             out.append((np.full(len(picked), qid[at + i]), vid[picked], scores))
     return out
 
@@ -155,3 +162,17 @@ def op8_one_bit_neighbours(spark: SparkSession, sf_dir: str, k: int = 20) -> Dat
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     dims = rows.where(F.col("embedding").isNotNull()).agg(F.mode(F.size("embedding")).alias("d")).first()["d"] or 1
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k, dims)
+
+
+ORACLE = """
+WITH d AS (SELECT mode(len(embedding)) AS n FROM embeddings),
+v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings, d
+  WHERE vec_id IS NOT NULL AND len(embedding) = n AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+r AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+n AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM r)
+SELECT * FROM n WHERE rank <= 20
+"""

@@ -31,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op2_raked_mix": raked_mix.ORACLE,
     "op4_warc_chunks": warc_chunks.ORACLE,
     "op5_prefix_jaccard": prefix_jaccard.ORACLE,
+    "op8_one_bit_neighbours": one_bit_neighbours.ORACLE,
 }

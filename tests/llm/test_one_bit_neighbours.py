@@ -1,4 +1,5 @@
 import numpy as np
+from oracle import connection, same
 
 from tabulon.llm import one_bit_neighbours as o
 
@@ -37,6 +38,10 @@ def test_recall_and_scores(spark, sf_dir):
     assert all([r["rank"] for r in rs] == list(range(1, 21)) for rs in got.values())
 
 
+def test_query_equals_its_oracle(spark, sf_dir):
+    same(o.op8_one_bit_neighbours(spark, sf_dir), connection(sf_dir), o.ORACLE)
+
+
 def test_blocks_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(o, "BLOCK_VECTORS", 7)
     monkeypatch.setattr(o, "BLOCK_QUERIES", 3)
