@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.byte_language import held_out
 from tabulon.llm.shared import bounded_batches, table
 
-LENGTH, DECAY, LONGEST = 3, 0.7, 26
+LENGTH, DECAY, LONGEST = 3, 0.8, 26
 #: Learning reads at most so many toxic and clean texts, those with the lowest
 #: hash of doc_id, and of each at most so many characters. Scoring has no bounds.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 20_000
@@ -280,9 +280,9 @@ def first_copies(docs: list[np.ndarray], raws: list[str], hashes: int = 8, share
 
 
 def bent(words: list[str]) -> list[str]:
-    """Each longer word with a rare letter put in at every other place: forms
+    """Each longer word with a rare letter put in at every place: forms
     that learning should count as the word."""
-    return [w[:i] + "xyzq"[(i + len(w)) % 4] + w[i:] for w in words if len(w) >= 5 for i in range(2, len(w) - 1, 2)]
+    return [w[:i] + "xyzq"[(i + len(w)) % 4] + w[i:] for w in words if len(w) >= 5 for i in range(1, len(w))]
 
 
 def hash_word(word: str) -> int:
@@ -346,7 +346,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine:
         chosen = {w: int(bad[w]) for w in sure} | {w: n for w, n in witness.items() if w in at and odds[w] > 2.0 and bad[w] > 2}
         rows = sorted(chosen.items()) or [(candidates[0], 1)]
         x_pos = np.concatenate([x_cand[[at[w] for w, _ in rows]], x_bent])
-        w_pos = np.array([math.log2(1 + n) for _, n in rows] + [0.5] * len(x_bent))
+        w_pos = np.array([math.log2(1 + n) for _, n in rows] + [1.0] * len(x_bent))
         w_pos *= BALANCE * max(1.0, w_neg.sum()) / w_pos.sum()
         coefs = svm(np.concatenate([x_pos, x_neg]), np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg))]), np.concatenate([w_pos, w_neg]))
         f = x_cand @ coefs[:-1] + coefs[-1]
