@@ -220,11 +220,10 @@ def fit(docs: DataFrame, limit: int = FIT_TEXTS) -> bytes:
         hashed = F.crc32(F.encode(F.concat(F.lit("fit"), F.col("doc_id").cast("string")), "UTF-8"))
         share = min(1.0, 2.0 * limit / n + 0.001)
         parts.append(usable.where((F.col("lang") == lang) & (hashed < int(share * 2**32))).orderBy(hashed, "doc_id").limit(limit).select("lang", F.substring("text", 1, FIT_CHARS).alias("text")))
-    if not parts:
-        return pickle.dumps(Network([], *[np.zeros(0)] * 1, [], *[np.zeros(0)] * 3))
     rows = [r for part in parts for r in part.collect() if has_letter(r["text"])]
     if not rows:
-        return pickle.dumps(Network([], *[np.zeros(0)] * 1, [], *[np.zeros(0)] * 3))
+        none = np.zeros(0)
+        return pickle.dumps(Network([], none, [], none, none, none))
     return pickle.dumps(train([r["text"].encode("utf-8") for r in rows], [r["lang"] for r in rows]))
 
 
