@@ -48,7 +48,7 @@ def distinct_keys(c: str) -> Column:
 
 #: Values up to which a median is one aggregate; beyond, Spark's exact median would
 #: hold every distinct value in one task, and the search below is used.
-SMALL = 200_000
+SMALL = 1_000_000
 
 
 def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[str, float | None]:
