@@ -172,12 +172,11 @@ Model = list[tuple[HashTable, HashTable]]
 
 def lookup_model(orders: list[DataFrame]) -> Model:
     """Hash tables of log p by key and log back by context, lowest order first."""
-    model = []
-    for df in orders:
-        pdf = df.select("key", "ctx", F.log("p").cast("float").alias("p"), F.log("back").cast("float").alias("back")).toPandas()
-        contexts = pdf.drop_duplicates("ctx")
-        model.append((HashTable.of(pdf["key"].to_numpy(), pdf["p"].to_numpy()), HashTable.of(contexts["ctx"].to_numpy(), contexts["back"].to_numpy())))
-    return model
+    def held(df: DataFrame, key: str, value: str) -> HashTable:
+        pdf = df.select(key, F.log(value).cast("float").alias("v")).toPandas()
+        return HashTable.of(pdf[key].to_numpy(), pdf["v"].to_numpy())
+
+    return [(held(df, "key", "p"), held(df.groupBy("ctx").agg(F.first("back").alias("back")), "ctx", "back")) for df in orders]
 
 
 def log_probability(keys: np.ndarray, model: Model) -> np.ndarray:
