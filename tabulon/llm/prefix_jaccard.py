@@ -10,8 +10,9 @@ tokens (the smaller l of the two) before it is verified.
 1. Texts become sets of shingle hashes; equal sets are one class from here on.
 2. Prefix tokens meet by token. Up to ``HOT`` classes of one token give pairs,
    summed by pair. More give no pairs: the token is hot. With h hot tokens in
-   its prefix a pair must still share l - h others; a class with l hot ones or
-   more is tied to the other such classes of those tokens by a star, not by pairs.
+   its prefix a pair must still share l - h others. A class with its own l hot
+   ones or more is full; a hot token of full classes is tied by a star, not by
+   pairs, to all its classes with as many hot ones as the least l of the full.
 3. Pairs with enough shared tokens, and stars, make families (connected
    components). A family is dealt over chunks of bounded size, and every pair of
    chunks is compared exactly, on whole sets. What leaves a comparison is each
@@ -393,8 +394,10 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         pairs = pairs.join(heat.select(F.col("sid").alias(side), F.col("heat").alias(f"heat_{side}")), side, "left")
     least_heat = F.least(F.coalesce("heat_a", F.lit(0)), F.coalesce("heat_b", F.lit(0)))
     candidates = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("level") - least_heat)).select("a", "b")
-    full = heat.join(classes.select("sid", "level"), "sid").where("heat >= level").select("sid")
-    held = hot.join(full, "sid")
+    # who shares only hot tokens shares the smaller level of them, so one of the two is full
+    warm = hot.join(heat, "sid").join(classes.select("sid", "level"), "sid")
+    asked = warm.where("heat >= level").groupBy("token").agg(F.min("level").alias("asked"))
+    held = warm.join(asked, "token").where("heat >= asked").select("sid", "token")
     stars = held.join(held.groupBy("token").agg(F.min("sid").alias("hub")), "token").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
     family = written(components(candidates.unionByName(stars)), "families")
     members = family.join(classes.select(F.col("sid").alias("node"), "doc_id", "copies", "n"), "node").select(F.col("node").alias("sid"), F.col("root").alias("family"), "doc_id", "copies", "n")

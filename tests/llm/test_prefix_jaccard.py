@@ -72,6 +72,17 @@ def test_hot_family_over_chunks(spark, monkeypatch):
     compare(spark, rows, 3, 90)
 
 
+@pytest.mark.parametrize(("size", "percent", "tail"), [(3, 90, 16), (5, 80, 36)])
+def test_hot_tokens_of_unlike_levels(spark, size, percent, tail):
+    """One text, and 60 of the whole of it and a tail of their own each: like the
+    base at the threshold and unlike each other, the base of another level."""
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join([*base, *(f"t{i}_{j}" for j in range(tail))])) for i in range(60)]
+    found = brute(rows, size, percent)
+    assert found[0][3] == 60 and found[1][3] == 1
+    compare(spark, rows, size, percent)
+
+
 def test_query_equals_its_oracle(spark, sf_dir):
     same(p.op5_prefix_jaccard(spark, sf_dir), connection(sf_dir), p.ORACLE)
 
