@@ -298,9 +298,9 @@ def meetings(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataF
         yield from flush(*(carry[c].to_numpy() for c in columns))
 
 
-def compare(sids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(sids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Root (by union of linked pairs) and number of linked copies of each class.
-    Where side has two values only pairs across them are compared."""
+    With ``across`` only pairs of two sides count, so none where one is empty."""
     m = len(sids)
     sizes = np.array([len(s) for s in sets], np.int64)
     token = np.unique(np.concatenate(sets), return_inverse=True)[1] if m else np.zeros(0, np.int64)
@@ -312,7 +312,6 @@ def compare(sids: np.ndarray, side: np.ndarray, copies: np.ndarray, sets: list[n
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     parent, links = np.arange(m), np.zeros(m, np.int64)
-    across = len(np.unique(side)) > 1
     inter = np.zeros((m, m), np.float32)
     wide = int(number[-1]) + 1 if len(number) else 0
     step = max(256, 8_000_000 // max(1, m))
@@ -348,7 +347,7 @@ def compared(batches: Iterable[pd.DataFrame], size: int, percent: int) -> Iterat
 
     def done() -> pd.DataFrame:
         pdf = pd.concat(held, ignore_index=True)
-        root, links = compare(pdf["sid"].to_numpy(), pdf["chunk"].to_numpy(), pdf["copies"].to_numpy(), shingle_sets(pdf["text"].tolist(), size), percent)
+        root, links = compare(pdf["sid"].to_numpy(), pdf["chunk"].to_numpy(), pdf["copies"].to_numpy(), shingle_sets(pdf["text"].tolist(), size), percent, now[1] != now[2])
         return pd.DataFrame({"sid": pdf["sid"], "root": root, "links": links, "chunks": pdf["chunks"]})
 
     now = None

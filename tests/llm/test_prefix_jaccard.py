@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import connection, same
 
@@ -83,6 +84,16 @@ def test_hot_tokens_of_unlike_levels(spark, size, percent, tail):
     compare(spark, rows, size, percent)
 
 
+def test_empty_chunk_counts_no_pair_again():
+    """Both classes of a family in chunk 0 of two: they meet with each other in
+    (0, 0), and with nobody in (0, 1)."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, 0, j, s, 0, 2, 1, t) for j in (0, 1) for s, t in ((1, text), (2, text + " end"))]
+    met = pd.DataFrame(rows, columns=["family", "i", "j", "sid", "chunk", "chunks", "copies", "text"])
+    out = pd.concat(p.compared(iter([met]), 3, 90))
+    assert out.groupby("sid")["links"].sum().to_dict() == {1: 1, 2: 1}
+
+
 def test_query_equals_its_oracle(spark, sf_dir):
     same(p.op5_prefix_jaccard(spark, sf_dir), connection(sf_dir), p.ORACLE)
 
