@@ -17,8 +17,8 @@ perplexities.
 A text is kept if its perplexity is at most ``SLACK`` times its language's
 ``QUANTILE`` quantile over trusted texts. A quarter of the trusted texts, by hash
 of the id, is never counted and gives the quantiles, for texts that were counted
-look easier than they are; a language without such texts uses its largest
-perplexity.
+look easier than they are; a language without such texts uses all its trusted
+ones, and without any the set-aside texts of all languages.
 
 Defined results: null or empty text has a null perplexity and is not kept; a
 null language is a language of its own; repeated rows score alike; without
@@ -274,9 +274,15 @@ def set_aside(doc_id: Column) -> Column:
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang and its limit."""
-    sure = F.when(F.col("trusted") & set_aside(F.col("doc_id")), F.col("perplexity"))
-    return scored.groupBy("lang").agg((F.coalesce(F.percentile_approx(sure, quantile, 10_000) * F.lit(SLACK), F.max("perplexity"))).alias("most"))
+    """lang and its limit: of its set-aside texts, else of its trusted ones, else
+    of those of all languages."""
+    aside = F.when(F.col("trusted") & set_aside(F.col("doc_id")), F.col("perplexity"))
+    sure = F.when(F.col("trusted"), F.col("perplexity"))
+    level = lambda of: F.percentile_approx(of, quantile, 10_000) * F.lit(SLACK)
+    everywhere = scored.agg(F.coalesce(level(aside), level(sure)).alias("_all"))
+    own = scored.groupBy("lang").agg(F.coalesce(level(aside), level(sure)).alias("_own"), F.max("perplexity").alias("_max"))
+    # without a trusted text at all there is no limit but the largest
+    return own.join(F.broadcast(everywhere)).select("lang", F.coalesce("_own", "_all", "_max").alias("most"))
 
 
 def judged(docs: DataFrame, ids: DataFrame, quantile: float = QUANTILE, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:

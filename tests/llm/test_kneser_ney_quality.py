@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import kneser_ney_quality as k
 
@@ -74,6 +75,14 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert k.judged(no_documents.select("doc_id", "text", "lang"), ids).collect() == []
 
 
+def test_language_without_set_aside_texts_has_a_limit(spark):
+    ids = spark.range(200).select("id", k.set_aside(F.col("id")).alias("aside")).collect()
+    aside, counted = ([r["id"] for r in ids if r["aside"] == v] for v in (True, False))
+    rows = [(i, 10.0, "en", True) for i in aside[:20]] + [(counted[0], 20.0, "de", True), (counted[1], 900.0, "de", False), (counted[2], 11.0, None, False), (counted[3], 900.0, None, False)]
+    scored = spark.createDataFrame(rows, "doc_id long, perplexity double, lang string, trusted boolean")
+    assert {r["lang"]: r["most"] for r in k.thresholds(scored).collect()} == pytest.approx({"en": 12.0, "de": 24.0, None: 12.0})
+
+
 def test_query_keeps_good_documents(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = k.op7_kneser_ney_quality(spark, sf_dir).join(labels, "doc_id").collect()
