@@ -7,10 +7,11 @@ kept with its cell's weight over the largest weight, decided by a hash of its
 id, so the margins are met in expectation, one seed gives one sample, and copies
 of a row share its fate.
 
-The raking itself is one array fold in one row of at most ``MAX_CELLS`` cells
-(more is refused, not cut: group rare sources first). Documents meet their
-cell's probability through a broadcast of that table, whose bound is checked;
-a hot cell is neither sorted nor gathered anywhere.
+The raking itself is one array fold in one row of at most ``MAX_CELLS`` cells.
+Documents meet their cell's probability through a broadcast of that table, whose
+bound is checked. More cells stay a table: each step is one grouped sum, a
+margin's multipliers are a table joined back, and documents are joined with hot
+cells dealt over parts. A hot cell is neither sorted nor gathered anywhere.
 
 Defined results: a null source, language or topic is a category of its own;
 null text has no tokens and the topic ``general``; a null id is decided as an
@@ -27,7 +28,7 @@ from operator import itemgetter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import table, words, written
+from tabulon.llm.shared import join_counted, table, words, written
 
 MAX_CELLS = 20_000
 ROUNDS = 20
@@ -134,9 +135,58 @@ def raked_weights(cells: DataFrame, targets: dict[str, dict[str, float]] | None
     return rows.select(*named, F.col("z.c.tokens").cast("long").alias("tokens"), F.col("z.w").alias("weight"), F.coalesce(F.try_divide(F.col("z.w"), F.col("most")), F.lit(0.0)).alias("probability"))
 
 
+def _times(cells: DataFrame, margins: dict[str, DataFrame]) -> DataFrame:
+    """cells with ``w``, the product of the margins' multipliers; small margins
+    are broadcast."""
+    out, w = cells, F.lit(1.0)
+    for d, m in margins.items():
+        own = m.select(d, F.col("m").alias(f"_m_{d}"))
+        out = out.join(F.broadcast(own) if own.count() <= MAX_CELLS else own, d)
+        w = w * F.col(f"_m_{d}")
+    return out.withColumn("w", w).drop(*[f"_m_{d}" for d in margins])
+
+
+def raked_tables(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """As ``raked_weights``, for any number of cells."""
+    powers = powers or MARGINS
+    names = list(powers)
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    share = F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(total)), F.lit(0.0))
+    own = written(cells.select(*[F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in names], "tokens", share.alias("share")), "mix-shares")
+    wanted, margins = {}, {}
+    for d in names:
+        if targets and d in targets:
+            raw = _looked_up(F.create_map(*[F.lit(v) for kv in targets[d].items() for v in kv]))(F.col(d))
+        else:
+            raw = F.pow("s", F.lit(powers[d]))
+        t = written(own.groupBy(d).agg(F.sum("share").alias("s")).select(d, raw.alias("raw")), "mix-target")
+        whole = float(t.agg(F.sum("raw")).first()[0] or 0)
+        wanted[d] = t.select(d, F.coalesce(F.try_divide(F.col("raw"), F.lit(whole)), F.lit(0.0)).alias("t"))
+        margins[d] = t.select(d, F.lit(1.0).alias("m"))
+    for _ in range(rounds):
+        for d in names:
+            sums = _times(own, {o: m for o, m in margins.items() if o != d}).groupBy(d).agg(F.sum(F.col("share") * F.col("w")).alias("s"))
+            margins[d] = written(sums.join(wanted[d], d).select(d, F.coalesce(F.try_divide(F.col("t"), F.col("s")), F.lit(0.0)).alias("m")), "mix-multipliers")
+    weighed = written(_times(own, margins), "mix-weighed")
+    most = float(weighed.agg(F.max("w")).first()[0] or 0)
+    named = [F.when(F.col(d) != NONE, F.col(d)).alias(d) for d in names]
+    return weighed.select(*named, F.col("tokens").cast("long").alias("tokens"), F.col("w").alias("weight"), F.coalesce(F.try_divide(F.col("w"), F.lit(most)), F.lit(0.0)).alias("probability"))
+
+
+def fitted_weights(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    fit = raked_weights if cells.limit(MAX_CELLS + 1).count() <= MAX_CELLS else raked_tables
+    return fit(cells, targets, rounds=rounds)
+
+
 def with_probability(rows: DataFrame, cells: DataFrame, names: dict[str, str]) -> DataFrame:
     """rows with their cell's ``_probability``; names maps the margins to rows'
-    columns, cells is at most MAX_CELLS rows."""
+    columns; at most MAX_CELLS cells are broadcast, more are joined."""
+    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        cell = lambda own: F.struct(*[F.coalesce(F.col(own[d]).cast("string"), F.lit(NONE)).alias(d) for d in names])
+        placed = rows.withColumn("_cell", cell(names))
+        counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
+        known = written(counts.join(cells.select(cell({d: d for d in names}).alias("_cell"), F.col("probability").alias("_probability")), "_cell"), "mix-known")
+        return join_counted(placed, known, "_cell", "_rows", "doc_id").drop("_cell", "_rows")
     told = F.broadcast(cells.select(*[F.col(d).alias(f"_c_{d}") for d in names], F.col("probability").alias("_probability")))
     match = F.lit(True)
     for d, own in names.items():
@@ -151,7 +201,7 @@ def cells_of(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 1, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The sampled documents, with their own columns."""
     cells = cells_of(docs.select("source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens")))
-    weights = written(raked_weights(written(cells, "mix-cells"), targets), "mix-weights")
+    weights = written(fitted_weights(written(cells, "mix-cells"), targets), "mix-weights")
     placed = docs.withColumn("_topic", topic_of(F.col("text")))
     told = with_probability(placed, weights, {"source": "source", "lang": "lang", "topic": "_topic"})
     return told.where(uniform(F.col("doc_id"), seed) < F.col("_probability")).select(*docs.columns)
@@ -161,7 +211,7 @@ def op2_raked_mix(spark: SparkSession, sf_dir: str, seed: int = 1) -> DataFrame:
     """Every document's cell, tokens, calibrated probability and fate."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), tokens_of(F.col("text")).alias("tokens"))
     narrow = written(docs, "mix-rows")
-    weights = written(raked_weights(written(cells_of(narrow), "mix-cells")), "mix-weights")
+    weights = written(fitted_weights(written(cells_of(narrow), "mix-cells")), "mix-weights")
     told = with_probability(narrow, weights, {d: d for d in MARGINS})
     return told.select("doc_id", "source", "lang", "topic", "tokens", F.round("_probability", 9).alias("probability"), (uniform(F.col("doc_id"), seed) < F.col("_probability")).alias("kept"))
 

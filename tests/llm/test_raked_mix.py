@@ -28,6 +28,21 @@ def test_too_many_cells_are_refused(spark, monkeypatch):
         m.raked_weights(cells)
 
 
+def test_any_number_of_cells_is_fitted(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else f"s{i % 7}", "xyz"[i % 3], "pq"[i % 2], 10 + i % 11 if i % 5 else 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    names = {d: d for d in m.MARGINS}
+
+    def told():
+        weights = m.written(m.fitted_weights(m.cells_of(docs), {"lang": {"x": 0.5, "y": 0.5}}, rounds=2), "test-weights")
+        return {r["doc_id"]: r["_probability"] for r in m.with_probability(docs, weights, names).collect()}
+
+    few = told()
+    monkeypatch.setattr(m, "MAX_CELLS", 5)
+    many = told()
+    assert len(many) == 300 and many == pytest.approx(few, abs=1e-12)
+
+
 def test_odd_rows(odd_documents, no_documents):
     kept = m.mixed(odd_documents)
     assert kept.columns == odd_documents.columns
