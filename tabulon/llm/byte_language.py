@@ -230,7 +230,7 @@ def fit(docs: DataFrame, limit: int = FIT_TEXTS) -> bytes:
 def identify(docs: DataFrame, blob: bytes, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; other columns of those names are replaced."""
     spark = docs.sparkSession
-    bounded_batches(spark, 4)
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(blob)  # some kilobytes, whatever the table
 
     @F.pandas_udf("lang_pred string, score double")

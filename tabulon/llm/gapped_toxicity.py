@@ -409,7 +409,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> bytes:
 def score_documents(docs: DataFrame, blob: bytes, text: str = "text") -> DataFrame:
     """docs with score and predicted; other columns of those names are replaced."""
     spark = docs.sparkSession
-    bounded_batches(spark, 4)
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(blob)  # letters cubed numbers: a few megabytes at most
 
     @F.pandas_udf("double")

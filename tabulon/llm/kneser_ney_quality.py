@@ -67,7 +67,7 @@ def as_bytes(text: str) -> bytes:
 
 def ngram_counts(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """key and count of every top-order n-gram of the whole texts."""
-    bounded_batches(trusted.sparkSession, 4)
+    bounded_batches(trusted.sparkSession)
 
     def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -209,7 +209,7 @@ def _perplexities(texts: list[str | None], score) -> np.ndarray:
 def by_lookup(docs: DataFrame, model: Model) -> DataFrame:
     """docs with perplexity, from tables held by the workers."""
     spark = docs.sparkSession
-    bounded_batches(spark, 2)
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -224,7 +224,7 @@ def by_lookup(docs: DataFrame, model: Model) -> DataFrame:
 def by_joins(docs: DataFrame, orders: list[DataFrame]) -> DataFrame:
     """docs with perplexity, from joins of each text's distinct n-grams with the
     sharded tables. Rows with equal doc_id and text share one perplexity."""
-    bounded_batches(docs.sparkSession, 4)
+    bounded_batches(docs.sparkSession)
     top = len(orders)
 
     def spread(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -122,7 +122,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, dims: int, eps: float =
     """query_id, rank, vec_id, score: each query's k nearest rows by inner
     product. rows and queries have vec_id and embedding."""
     spark = rows.sparkSession
-    bounded_batches(spark, 8)
+    bounded_batches(spark)
     rows = usable(rows.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), "embedding", dims)
     queries = usable(queries.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), "embedding", dims)
     n, m = rows.count(), queries.count()

@@ -373,7 +373,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     connected components of documents whose shingle sets have a Jaccard
     similarity of ``percent`` hundredths or more."""
     spark = docs.sparkSession
-    bounded_batches(spark, 2)
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sets = written(set_table(docs, sketch(docs, size), size, percent), "sets")
     classes = written(

@@ -11,7 +11,8 @@ Defined results: null text has no words and fails the base rules; empty text
 likewise; ties between conditions go to the earlier statistic and the lower
 threshold, so learning is repeatable; repeated rows are judged alike; an empty
 table gives an empty result; without usable labels the list is empty and only
-the base rules decide; columns with other names are passed over.
+the base rules decide; other columns stay as they are, whatever their names, but
+for those called like an output (STATISTICS and VERDICTS), which are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import table, words
+from tabulon.llm.shared import row_of, table, unpacked, words
 
 #: Learning reads at most this many labelled documents, those with the lowest
 #: hash of doc_id. Fitting only; scoring and statistics cover every row.
 FIT_ROWS = 8000
 #: Statistics a condition may use, in order of preference.
 FEATURES = ("symbol_share", "repeat_share", "dup_line_share", "upper_share", "digit_share", "mean_word", "distinct_share", "line_words", "n_words")
+#: What the operator adds; columns of these names are replaced, all others stay.
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", *(f for f in FEATURES if f != "n_words"))
+VERDICTS = ("base_failed", "rule", "kept")
 MIN_PRECISION, MIN_COVER, MAX_CONDITIONS, MAX_RULES, CUTS = 0.97, 8, 3, 12, 24
 
 
@@ -113,13 +117,19 @@ def repeated_words(w: Column) -> Column:
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts and the shares that conditions test."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    """docs with STATISTICS: the base counts and the shares that conditions test."""
+    return unpacked(_statistics(docs, text, STATISTICS), *STATISTICS)
+
+
+def _statistics(docs: DataFrame, text: str, replaced: tuple[str, ...]) -> DataFrame:
+    """``_row``, STATISTICS and working columns."""
+    body = F.coalesce(F.col("_text"), F.lit(""))
     w = F.col("_words")
     long0 = lambda c: c.cast("long")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = (
-        docs.withColumn("_words", words(F.col(text)))
+        docs.select(row_of(docs, *(c for c in replaced if c != text)), F.col(text).alias("_text"))
+        .withColumn("_words", words(F.col("_text")))
         .withColumn("n_words", long0(F.size(w)))
         .withColumn("word_chars", long0(F.length(F.array_join(w, ""))))
         .withColumn("n_symbols", long0(F.regexp_count(body, F.lit(r"[#*$%&|<>]"))))
@@ -235,14 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     # filtered here: a filter in the plan would move below the join and have
     # every document's statistics computed
     sample = with_statistics(fit_sample(docs, labels, label, limit)).select("doc_id", "_label", base_failed().alias("_failed"), *FEATURES)
-    rows = sorted((r.asDict() for r in sample.collect() if not r["_failed"]), key=lambda r: (r["doc_id"], *(r[f] for f in FEATURES)))
+    # one row of an id, however often it is repeated: what is collected stays bounded
+    ones = sample.groupBy("doc_id", "_label").agg(F.min(F.struct("_failed", *FEATURES)).alias("s")).select("doc_id", "_label", "s.*")
+    rows = sorted((r.asDict() for r in ones.collect() if not r["_failed"]), key=lambda r: r["doc_id"])
     return learn(rows)
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with statistics, ``base_failed``, ``rule`` and ``kept``."""
-    told = with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", fired(rules))
-    return told.withColumn("kept", ~F.col("base_failed") & (verdict(rules) == F.lit(1)))
+    """docs with STATISTICS and VERDICTS."""
+    told = _statistics(docs, "text", STATISTICS + VERDICTS).withColumn("base_failed", base_failed()).withColumn("rule", fired(rules))
+    return unpacked(told.withColumn("kept", ~F.col("base_failed") & (verdict(rules) == F.lit(1))), *STATISTICS, *VERDICTS)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

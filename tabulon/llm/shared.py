@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,17 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir as the session
-    names it. Only where it is unset (single-machine tests) one is made and set."""
+    """The folder every executor can reach: the checkpoint folder in force, else
+    spark.checkpoint.dir as the session names it. Where neither is set, a session
+    on one machine (master local) gets a temporary folder; a cluster's session is
+    refused, for its executors would each write to a disk of their own."""
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if kept.isDefined():
+        return kept.get()
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -59,13 +64,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16) -> None:
-    """Batches sent to Python workers are held to so many bytes, however long the
+#: Bytes of a batch sent to Python workers; one figure for all operators, so that
+#: none changes the batches of another.
+BATCH_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches sent to Python workers are held to BATCH_BYTES, however long the
     texts; a smaller setting of the session stays."""
-    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
-    if now is None or not now.isdigit() or int(now) > most:
-        spark.conf.set(key, str(most))
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def row_of(df: DataFrame, *replaced: str) -> Column:
+    """All columns of df as one, ``_row``, so that what an operator computes beside
+    it clashes with none of their names. Columns called ``replaced`` are left
+    out, for the operator gives its own."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in replaced]
+    return (F.struct(*kept) if kept else F.struct(F.lit(None).alias("_none"))).alias("_row")
+
+
+def unpacked(df: DataFrame, *own: Column | str) -> DataFrame:
+    """The columns in ``_row`` as they were, then the operator's own."""
+    return df.select(*([] if df.schema["_row"].dataType.names == ["_none"] else ["_row.*"]), *own)
 
 
 #: Keys that are dealt over salts are at most so many, whatever the input.

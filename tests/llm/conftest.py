@@ -27,3 +27,16 @@ def odd_documents(spark):
 @pytest.fixture(scope="session")
 def no_documents(odd_documents):
     return odd_documents.limit(0)
+
+
+#: Names that operators give or work with themselves.
+NAMES = """_row _text _words _lines _distinct _upper _digits _id _d _t _p _n _e _l _topic _probability _cell _rows _c_source
+topic tokens probability weight gap n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words symbol_share repeat_share
+base_failed rule kept held_out lang_pred score predicted perplexity most least trusted threshold key n sid root links chunk
+family level prefix token n_tokens ids exact decoded parity shard slot hilbert _place _bucket component_id n_shingles n_links""".split()
+
+
+@pytest.fixture(scope="session")
+def clashing_documents(odd_documents):
+    """The odd rows with every such name as an extra column."""
+    return odd_documents.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"'mine' AS `{n}`" for n in NAMES])

@@ -63,13 +63,27 @@ def test_verdict_is_ordered(spark):
 def test_odd_rows(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 0), (1, None), (3, 1), (None, 0), (4, 1), (99, 0)], "doc_id long, quality int")
     rules = q.fit(odd_documents, labels)
-    rows = q.judge(odd_documents.drop("kept"), rules).select("doc_id", "text", "base_failed", "kept").collect()
+    rows = q.judge(odd_documents, rules).select("doc_id", "text", "base_failed", "kept").collect()
     assert len(rows) == 12
     assert all(r["base_failed"] and not r["kept"] for r in rows if not r["text"] or len(r["text"]) < 40)
     assert q.judge(no_documents, rules).collect() == []
     assert q.fit(no_documents, labels) == []
 
 
+def test_clashing_columns(spark, clashing_documents, odd_documents):
+    """Outputs replace columns of their names; all other columns stay."""
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
+    rules = q.fit(clashing_documents, labels)
+    out = q.judge(clashing_documents, rules)
+    assert len(out.columns) == len(set(out.columns)) and set(out.columns) >= set(clashing_documents.columns)
+    own = {*q.STATISTICS, *q.VERDICTS}
+    rows = out.collect()
+    assert all(r[n] == "mine" for r in rows for n in clashing_documents.columns[5:] if n not in own)
+    narrow = odd_documents.select("doc_id", "text")
+    same = lambda df: sorted((tuple(r) for r in df.select("doc_id", *sorted(own)).collect()), key=repr)
+    assert same(out) == same(q.judge(narrow, rules))
+
+
 def test_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = q.op10_quality_rules(spark, sf_dir).collect()

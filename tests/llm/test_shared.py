@@ -21,12 +21,49 @@ def test_words(spark):
 def test_batch_bytes_only_go_down(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(key)
-    for megabytes, want in ((4, 4), (16, 4), (2, 2)):
-        shared.bounded_batches(spark, megabytes)
-        assert int(spark.conf.get(key)) == want << 20
+    for own, want in ((None, shared.BATCH_BYTES), (shared.BATCH_BYTES * 8, shared.BATCH_BYTES), (1 << 20, 1 << 20)):
+        if own is not None:
+            spark.conf.set(key, str(own))
+        shared.bounded_batches(spark)
+        assert int(spark.conf.get(key)) == want
     spark.conf.unset(key)
 
 
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    class Context:
+        def __init__(self, master):
+            self.master = master
+            self._jsc = self
+
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self
+
+        def isDefined(self):  # noqa: N802
+            return False
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+        def setCheckpointDir(self, path):  # noqa: N802
+            self.path = path
+
+    class Session:
+        conf = {}
+
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    import pytest
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared_dir(Session(master))
+    assert shared.shared_dir(Session("local[4]")).startswith("file:///")
+
+
 def test_the_session_names_the_folder(spark):
     assert shared.written(spark.range(3), "t").count() == 3
     assert shared.shared_dir(spark) == shared.shared_dir(spark)
