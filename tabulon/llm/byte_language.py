@@ -17,7 +17,8 @@ scored whole.
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 texts of under four bytes are padded; ties go to the language first in order;
 repeated rows score alike; an empty table, or no labels to learn from, gives
-``und``; other columns are passed over.
+``und``; other columns stay as they are, whatever their names, but for those called
+like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import bounded_batches, table
+from tabulon.llm.shared import bounded_batches, free_name, table
 
 #: Bytes of a window; the last window of a text may be shorter.
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 4, 6), 12, 8
 #: Learning reads at most this many labelled texts of each language, those with
-#: the lowest hash of doc_id, of each at most so many characters, and of these at
-#: most so many windows, spread evenly. Scoring has no such bounds.
-FIT_TEXTS, FIT_CHARS, FIT_WINDOWS, FIT_LANGUAGES = 600, 200_000, 3, 64
+#: the lowest hash of doc_id; with very many languages fewer of each, about FIT_ROWS
+#: together and one at least. Of a text it takes so many windows, spread evenly over
+#: all of it. Scoring has no such bounds, and every language is learned.
+FIT_TEXTS, FIT_ROWS, FIT_WINDOWS = 600, 60_000, 3
 UNKNOWN = "und"
 
 
@@ -75,6 +77,12 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.reshape(-1, WINDOW), owner, np.minimum(WINDOW, np.maximum(1, sizes[owner] - no * WINDOW))
 
 
+def spread_windows(text: bytes) -> list[bytes]:
+    """Up to FIT_WINDOWS windows of a text, spread over the whole of it."""
+    count = max(1, -(-len(text) // WINDOW))
+    return [text[i * WINDOW : (i + 1) * WINDOW] for i in sorted(set(np.linspace(0, count - 1, min(FIT_WINDOWS, count)).astype(int).tolist()))]
+
+
 def pooled(x: np.ndarray, sizes: np.ndarray, net: Network, tables: list[list[np.ndarray]]) -> np.ndarray:
     """Maximum of each filter over each window (windows x filters)."""
     pairs = (x[:, :-1].astype(np.int32) << 8) | x[:, 1:]
@@ -102,19 +110,14 @@ def probabilities(x: np.ndarray, sizes: np.ndarray, net: Network, tables: list[l
 
 
 def train(texts: list[bytes], labels: list[str], rounds: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 7) -> Network:
-    """Minibatch Adam on cross entropy; the gradient of a pooled filter goes to
-    the place that was its maximum."""
+    """Minibatch Adam on cross entropy over the texts' windows; the gradient of a
+    pooled filter goes to the place that was its maximum."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     y_of = {k: i for i, k in enumerate(languages)}
-    x, owner, sizes = windows(texts)
-    # a bounded number of windows of each text, spread over the whole of it
-    keep: list[int] = []
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        keep += sorted(set(np.linspace(a, b - 1, min(FIT_WINDOWS, b - a)).astype(int)))
-    x, sizes = x[keep].astype(np.int64), sizes[keep]
-    y = np.array([y_of[labels[o]] for o in owner[keep]])
+    parts = [(w, y_of[k]) for t, k in zip(texts, labels, strict=True) for w in spread_windows(t)]
+    x, _, sizes = windows([w for w, _ in parts])
+    x, y = x.astype(np.int64), np.array([k for _, k in parts])
     total = FILTERS * len(WIDTHS)
     params = {"embed": rng.normal(0, 0.5, (256, EMBED)), "out": rng.normal(0, 0.3, (total, len(languages))), "bias": np.zeros(total), "out_bias": np.zeros(len(languages))}
     params |= {f"w{w}": rng.normal(0, 1 / np.sqrt(w * EMBED), (w, EMBED, FILTERS)) for w in WIDTHS}
@@ -209,22 +212,42 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, limit: int = FIT_TEXTS) -> bytes:
-    """The trained network, pickled. docs has doc_id, text and lang; the texts
-    brought to the driver are at most ``limit`` for each of at most
-    FIT_LANGUAGES languages, those of most rows."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()}
-    parts = []
-    for lang, n in counts.items():
-        # a share by hash, then the lowest hashes: no language is sorted as a whole
-        hashed = F.crc32(F.encode(F.concat(F.lit("fit"), F.col("doc_id").cast("string")), "UTF-8"))
-        share = min(1.0, 2.0 * limit / n + 0.001)
-        parts.append(usable.where((F.col("lang") == lang) & (hashed < int(share * 2**32))).orderBy(hashed, "doc_id").limit(limit).select("lang", F.substring("text", 1, FIT_CHARS).alias("text")))
-    rows = [r for part in parts for r in part.collect() if has_letter(r["text"])]
+    """The trained network, pickled. docs has doc_id, text and lang. Texts are
+    counted by language, those of the lowest hashes are cut into windows where
+    they lie, and the driver gets the windows of at most ``limit`` texts a language."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    counts = [(r["lang"], r["count"]) for r in usable.groupBy("lang").count().collect()]
+    if not counts:
+        return _nothing_learned()
+    each = max(1, min(limit, FIT_ROWS // len(counts)))
+    # a share by hash that holds the lowest ``each`` of a language all but surely
+    shares = spark.createDataFrame([(lang, int(min(1.0, (2.0 * each + 100) / n) * 2**32)) for lang, n in counts], "lang string, _below long")
+    hashed = F.crc32(F.encode(F.concat(F.lit("fit"), F.col("doc_id").cast("string")), "UTF-8"))
+    near = usable.join(F.broadcast(shares), "lang").withColumn("_hash", hashed).where("_hash < _below").select("doc_id", "lang", "_hash", F.xxhash64("text").alias("_text"), "text")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[np.array([has_letter(t) for t in pdf["text"]], bool)]
+            parts = [spread_windows(t.encode("utf-8", "replace")) for t in pdf["text"]]
+            yield pdf.drop(columns="text").assign(windows=pd.Series(parts, index=pdf.index, dtype=object))
+
+    told = near.mapInPandas(cut, "doc_id long, lang string, _hash long, _text long, windows array<binary>")
+    # one text of an id, however often it is repeated
+    one = told.groupBy("doc_id", "lang", "_hash").agg(F.min_by("windows", "_text").alias("windows"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
+    rows = one.withColumn("_number", number).where(F.col("_number") <= each).collect()
     if not rows:
-        none = np.zeros(0)
-        return pickle.dumps(Network([], none, [], none, none, none))
-    return pickle.dumps(train([r["text"].encode("utf-8") for r in rows], [r["lang"] for r in rows]))
+        return _nothing_learned()
+    rows.sort(key=lambda r: (r["lang"], r["_hash"], r["doc_id"]))
+    parts = [(bytes(w), r["lang"]) for r in rows for w in r["windows"]]
+    return pickle.dumps(train([w for w, _ in parts], [k for _, k in parts]))
+
+
+def _nothing_learned() -> bytes:
+    none = np.zeros(0)
+    return pickle.dumps(Network([], none, [], none, none, none))
 
 
 def identify(docs: DataFrame, blob: bytes, text: str = "text") -> DataFrame:
@@ -239,8 +262,8 @@ def identify(docs: DataFrame, blob: bytes, text: str = "text") -> DataFrame:
             names, scores = predict([t if isinstance(t, str) else None for t in texts], held.value)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, told(F.col(text)).alias("_l")).select(*kept, "_l.lang_pred", "_l.score")
+    kept, own = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")], free_name(docs, "_told")
+    return docs.select(*kept, told(F.col(text)).alias(own)).select(*kept, f"{own}.lang_pred", f"{own}.score")
 
 
 def op3_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:

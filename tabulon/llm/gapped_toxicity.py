@@ -19,7 +19,8 @@ Learning reads a bounded, documented number of labelled texts; every text is
 scored whole. Defined results: null text scores as empty text does; no labels,
 or only one label, gives every text the same low score and ``predicted`` 0;
 repeated rows score alike; words of over 24 letters are scored by overlapping
-parts; an empty table gives an empty result; other columns are passed over.
+parts; an empty table gives an empty result; other columns stay as they are, but
+for those called like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -45,8 +46,8 @@ from tabulon.llm.shared import bounded_batches, table
 
 LENGTH, DECAY, LONGEST = 3, 0.8, 26
 #: Learning reads at most so many toxic and clean texts, those with the lowest
-#: hash of doc_id, and of each at most so many characters. Scoring has no bounds.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2000, 4000, 20_000
+#: hash of doc_id, each of them whole. Scoring has no bounds.
+FIT_TOXIC, FIT_CLEAN = 2000, 4000
 #: Landmarks: the words that speak most for toxic texts, and clean words like them.
 SPEAKING, ALIKE = 96, 96
 #: Log odds times root of count from which a word is a witness wherever it stands.
@@ -295,11 +296,20 @@ def nothing_learned() -> Machine:
 
 
 def train(texts: list[str], toxic: list[int]) -> Machine:
-    """texts are turned into arrays of word numbers one by one; only distinct
-    words are held as strings."""
+    return train_words([joined_words(t) for t in texts], toxic)
+
+
+def joined_words(text: str | None) -> bytes:
+    """A text's distinct words in order, as one value."""
+    return "\n".join(sorted(raw_words(text))).encode("utf-8", "surrogatepass")
+
+
+def train_words(texts: Iterable[bytes], toxic: list[int]) -> Machine:
+    """texts are joined words, and are turned into arrays of word numbers one by
+    one; only distinct words are held as strings."""
     y = np.array(toxic)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in raw_words(t)], np.int32) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in t.decode("utf-8", "surrogatepass").split("\n") if w], np.int32) for t in texts]
     raws = list(number)
     single = first_copies(docs, raws)
     docs, y = [docs[i] for i in single], y[single]
@@ -396,14 +406,24 @@ def _ready(blob: bytes) -> Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> bytes:
     """The trained machine, pickled. At most FIT_TOXIC + FIT_CLEAN ids are chosen
-    from the narrow label table and broadcast to fetch their texts."""
-    narrow = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_toxic"))
+    from the narrow label table and broadcast to fetch their texts; the distinct
+    words of whole texts are made where the texts lie."""
+    bounded_batches(docs.sparkSession)
+    narrow = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("_toxic"))
     hashed = F.crc32(F.encode(F.concat(F.lit("fit"), F.col("doc_id").cast("string")), "UTF-8"))
     some = [narrow.where(F.col("_toxic") == v).orderBy(hashed, "doc_id").limit(n) for v, n in ((1, FIT_TOXIC), (0, FIT_CLEAN))]
     ids = some[0].unionByName(some[1])
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return pickle.dumps(train([r["text"] for r in rows], [r["_toxic"] for r in rows]))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "_toxic", F.xxhash64("text").alias("_text"), "text")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns="text").assign(words=pd.Series([joined_words(t) for t in pdf["text"]], index=pdf.index, dtype=object))
+
+    told = texts.mapInPandas(listed, "doc_id long, _toxic int, _text long, words binary")
+    # one text of an id, however often it is repeated
+    rows = told.groupBy("doc_id", "_toxic").agg(F.min_by("words", "_text").alias("words")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return pickle.dumps(train_words((bytes(r["words"]) for r in rows), [r["_toxic"] for r in rows]))
 
 
 def score_documents(docs: DataFrame, blob: bytes, text: str = "text") -> DataFrame:
@@ -418,9 +438,8 @@ def score_documents(docs: DataFrame, blob: bytes, text: str = "text") -> DataFra
             machine = _ready(held.value)
             yield pd.Series(text_scores([t if isinstance(t, str) else None for t in texts], machine, machine))
 
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    out = docs.select(*kept, scored(F.col(text)).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    kept = [f"`{c}`" for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*kept, scored(F.col(text)).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op6_gapped_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_of(df: DataFrame, *replaced: str) -> Column:
     """All columns of df as one, ``_row``, so that what an operator computes beside
     it clashes with none of their names. Columns called ``replaced`` are left

@@ -60,3 +60,35 @@ def test_query_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = told.join(docs, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.9 * len(rows)
+
+
+def test_eighty_languages(spark):
+    """Every language is learned: each of 80 has letters of its own."""
+    rows = []
+    for k in range(80):
+        letters = [chr(0x4E00 + 97 * k + j) for j in range(6)]
+        rows += [(k * 12 + i, "".join(letters[(i * 5 + j * j) % 6] for j in range(60)), f"l{k:02d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(pickle.loads(b.fit(docs)).languages) == 80
+
+
+def test_learns_from_the_whole_text(spark):
+    """The first 300,000 characters are alike; windows come from beyond them too."""
+    parts = b.spread_windows(b"a" * 300_000 + b"b" * 300_000)
+    assert len(parts) == 3 and set(parts[0]) == {97} and set(parts[2]) == {98}
+    assert b.spread_windows(b"") == [b""] and len(b.spread_windows(b"x" * 193)) == 2
+
+
+def test_repeated_ids_are_one_text(spark):
+    docs = spark.createDataFrame([(1, "the same old text", "en")] * 500 + [(3, "der alte text", "de")], "doc_id long, text string, lang string")
+    seen = []
+    with __import__("pytest").MonkeyPatch.context() as p:
+        p.setattr(b, "train", lambda texts, labels: seen.append((texts, labels)))
+        b.fit(docs)
+    assert seen == [([b"der alte text", b"the same old text"], ["de", "en"])]
+
+
+def test_clashing_columns(clashing_documents):
+    out = b.identify(clashing_documents, b.fit(clashing_documents))
+    assert sorted(out.columns) == sorted(clashing_documents.columns)
+    assert all(r[n] == "mine" for r in out.collect() for n in clashing_documents.columns[5:] if n not in ("lang_pred", "score"))

@@ -84,3 +84,48 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert all(len(s) == 1 for s in by.values())
     assert g.score_documents(no_documents, blob).collect() == []
     assert len(g.score_documents(odd_documents, g.fit(no_documents, labels.limit(0))).collect()) == 12
+
+
+def test_an_insult_far_into_a_text_is_learned(spark):
+    """Every insult stands after 100,000 clean characters, other ones in each text."""
+    rows, rng = corpus(150), random.Random(8)
+    letters = ["ka", "lo", "mi", "ten", "ra", "su", "vel", "or", "pin", "da"]
+
+    def far():
+        own = ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(300)]
+        return " ".join(rng.choices(own, k=16_000))[:100_000].rsplit(" ", 1)[0]
+
+    docs = spark.createDataFrame([(i, f"{far()} {t}") for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    machine = g._ready(g.fit(docs, labels))
+    assert (g.text_scores(["kalo scoundrel mi", "nitwit", "dunderhead ten"], machine) >= g.THRESHOLD).all()
+    assert (g.text_scores([far(), "kalo mi ten"], machine) < g.THRESHOLD).all()
+
+
+def test_clashing_columns(clashing_documents):
+    out = g.score_documents(clashing_documents, __import__("pickle").dumps(g.nothing_learned()))
+    assert sorted(out.columns) == sorted(clashing_documents.columns)
+    assert all(r[n] == "mine" for r in out.collect() for n in clashing_documents.columns[5:] if n not in ("score", "predicted"))
+
+
+def test_query(spark):
+    """Held-out documents of a larger table, where there is one."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test data")
+    told = g.op6_gapped_toxicity(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    assert told.columns == ["doc_id", "held_out", "score", "predicted"] and told.count() == docs.count()
+    rows = told.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    seen = [r for r in rows if not r["held_out"]]
+    assert sum(r["predicted"] for r in seen if r["toxic"]) >= 0.7 * sum(r["toxic"] for r in seen)
+    held = [r for r in rows if r["held_out"] and not r["toxic"]]
+    assert sum(r["predicted"] for r in held) <= 0.1 * len(held)
+    again = {r["doc_id"]: r["score"] for r in g.op6_gapped_toxicity(spark, d).collect()}
+    assert all(abs(again[r["doc_id"]] - r["score"]) < 1e-9 for r in rows)
+    assert told.where(F.col("score").isNull()).isEmpty()
