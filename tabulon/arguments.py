@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.index import SPAN, position_lists
 from tabulon.values import Value
 
 
@@ -133,6 +134,7 @@ class ArgumentIndex:
         return name in self._places
 
 
-def name_positions(rows: DataFrame, name: str = "name", pos: str = "pos") -> DataFrame:
-    """The same index over argument rows: positions of each name, in order."""
-    return rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.sort_array(F.collect_list(pos)).alias("positions"))
+def name_positions(rows: DataFrame, name: str = "name", pos: str = "pos", span: int = SPAN) -> DataFrame:
+    """The same index over argument rows: positions of each name, in order, in
+    parts of ``span`` positions."""
+    return position_lists(rows.where(F.col(name).isNotNull()), name, pos, span)

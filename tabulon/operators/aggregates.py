@@ -18,10 +18,20 @@ def total(c: str) -> Column:
 def average(c: str, kind: DataType) -> Column:
     """Integers are summed exactly, whatever their width; floats in double."""
     if kind.is_integer:
-        return (F.sum(F.col(c).cast("decimal(38,0)")).cast("double") / F.count(c)).cast("double")
+        total = F.sum(F.col(c).cast("decimal(38,0)")) if kind is DataType.U64 else _long_total(F.col(c).cast("long"))
+        return (total.cast("double") / F.count(c)).cast("double")
     return F.avg(F.col(c).cast("double"))
 
 
+def _long_total(v: Column) -> Column:
+    """The exact sum of longs as a decimal, from sums of three parts of their bits;
+    no part's sum overflows before 2**41 rows."""
+    wide = lambda x: x.cast("decimal(38,0)")
+    mask = F.lit((1 << 22) - 1).cast("long")
+    high, middle, low = F.sum(F.shiftright(v, 44)), F.sum(F.shiftright(v, 22).bitwiseAND(mask)), F.sum(v.bitwiseAND(mask))
+    return wide(high) * F.lit(1 << 44).cast("decimal(15,0)") + wide(middle) * F.lit(1 << 22).cast("decimal(8,0)") + wide(low)
+
+
 def maximum(c: str, kind: DataType) -> Column:
     """NaN never wins; null if there is no value."""
     return F.max(F.when(~F.isnan(c), F.col(c))) if kind.is_float else F.max(c)
@@ -46,9 +56,9 @@ def distinct_keys(c: str) -> Column:
     return F.countDistinct(c)
 
 
-#: Values up to which a median is one aggregate; beyond, Spark's exact median would
-#: hold every distinct value in one task, and the search below is used.
-SMALL = 1_000_000
+#: Values up to which a median is one aggregate, which holds every distinct value in
+#: one task; beyond, the search below is used.
+SMALL = 20_000
 
 
 def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[str, float | None]:
@@ -112,9 +122,10 @@ def select_ranks(frame: DataFrame, sought: list[Rank], small: int) -> None:
     so it ends however the values are spread."""
     while open_ := [r for r in sought if r.value is None]:
         few = [r for r in open_ if r.held <= small]
-        for r in few:
-            values = frame.where(r.inside()).agg(F.sort_array(F.collect_list(r.column)).alias("v"))
-            r.value = values.select(F.element_at("v", r.rank - r.under + 1)).first()[0]
+        if few:
+            values = [F.element_at(F.sort_array(F.collect_list(F.when(r.inside(), F.col(r.column)))), r.rank - r.under + 1) for r in few]
+            for r, v in zip(few, frame.agg(*[v.alias(f"v{i}") for i, v in enumerate(values)]).first(), strict=True):
+                r.value = v
         wide = [r for r in open_ if r.value is None]
         if not wide:
             return

@@ -13,6 +13,16 @@ from tabulon.types import DataType
 from tabulon.values import Value
 
 
+#: Positions of a part of an index's list.
+SPAN = 1 << 20
+
+
+def position_lists(rows: DataFrame, key: str, pos: str, span: int = SPAN) -> DataFrame:
+    """The sorted positions of each key, cut into parts of ``span`` positions."""
+    part = F.floor(F.col(pos) / F.lit(span)).cast("long")
+    return rows.groupBy(key, part.alias("part")).agg(F.sort_array(F.collect_list(pos)).alias("positions"))
+
+
 def family(kind: DataType) -> str:
     """Keys match within one family only: signed and unsigned integers are two."""
     return "signed" if kind.is_signed else "unsigned" if kind.is_unsigned else kind.label
@@ -48,15 +58,12 @@ class ColumnIndex:
     def null_rows(self) -> DataFrame:
         return self.table.frame.where(F.col(self.spec.name).isNull()).select(POS).orderBy(POS)
 
-    def groups(self, span: int | None = None) -> DataFrame:
-        """key and its sorted positions, nulls apart. With ``span`` a key's list is
-        cut by ranges of so many positions (``part``), so that no key, however
-        common, is one list in one task."""
-        rows = self.table.frame.where(F.col(self.spec.name).isNotNull()).withColumn("key", F.col(self.spec.name))
-        keys = ["key"]
-        if span is not None:
-            rows, keys = rows.withColumn("part", F.floor(F.col(POS) / F.lit(span))), ["key", "part"]
-        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(POS)).alias("positions"))
+    def groups(self, span: int = SPAN) -> DataFrame:
+        """key, part and the key's sorted positions in that part, nulls apart. A
+        part is a range of ``span`` positions, so that no key, however common, is
+        one list in one task."""
+        rows = self.table.frame.where(F.col(self.spec.name).isNotNull()).select(F.col(self.spec.name).alias("key"), F.col(POS))
+        return position_lists(rows, "key", POS, span)
 
     def distinct_key_count(self) -> int:
         return self.table.frame.agg(F.countDistinct(self.spec.name).alias("n")).first()["n"]

@@ -78,18 +78,22 @@ def customers(spark: SparkSession, d: str) -> Table:
 
 def events(spark: SparkSession, d: str) -> Table:
     """Events with an extra taken from their JSON text."""
-    frame = read(spark, d, "events")
-    table = Table.from_frame(frame.select("event_id", "event_type", "value"), EVENTS, ["event_id"], validate=False)
-    k = frame.select(F.col("event_id").alias("_id"), F.get_json_object("props", "$.k").alias("_k"))
-    joined = Table(table.frame.join(k, F.col("event_id") == F.col("_id")), EVENTS)
-    out = joined.with_extra("k", F.col("_k"), D.I64)
-    return Table(out.frame.drop("_id", "_k"), EVENTS)
+    k = F.get_json_object("props", "$.k")
+    return Table.from_frame(read(spark, d, "events"), EVENTS, ["event_id"], validate=False, extras={"k": (k, D.I64)})
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount")
 
 
+LINES = Schema(columns(("l_orderkey", D.I64), ("l_linenumber", D.I32), ("l_partkey", D.I64), ("l_quantity", D.F64), ("l_extendedprice", D.F64), ("l_returnflag", D.STRING, "flag")))
+LINE_ORDER = LINES.names  # order and line numbers repeat; rows that tie in all columns are alike
+
+
+def line_table(spark: SparkSession, d: str, where: str = "true") -> Table:
+    return Table.from_frame(read(spark, d, "lineitem").where(where), LINES, LINE_ORDER, validate=False)
+
+
 def facts(spark: SparkSession, **values: object) -> DataFrame:
     """Driver-side results as one row of text."""
     return spark.createDataFrame([tuple(str(v) for v in values.values())], ", ".join(f"{k} string" for k in values))
@@ -123,18 +127,18 @@ def src_rows(spark, d):
     return facts(spark, rows=t.row_count, columns=t.column_count, empty=t.is_empty, names=",".join(t.frame.columns[:3]))
 
 
-PEOPLE = Schema(columns(("id", D.U64), ("name", D.STRING, "display_name"), ("score", D.I32, None, True)))
+STOCK = Schema(columns(("sku", D.U64), ("label", D.STRING, "shown_as"), ("held", D.I32, None, True)))
 
 
-@query("SELECT id::DECIMAL(20,0) AS id, name, score, pos FROM (VALUES (7, 'Ada', 42, 0::BIGINT), (8, 'Grace', NULL, 1), (18446744073709551615, 'Max', -1, 2)) t(id, name, score, pos)")
+@query("SELECT sku::DECIMAL(20,0) AS sku, label, held, pos FROM (VALUES (310, 'bolt', 125, 0::BIGINT), (311, 'washer', NULL, 1), (18446744073709551615, 'rivet', -1, 2)) t(sku, label, held, pos)")
 def src_push_row(spark, d):
-    t = Table.from_rows(spark, PEOPLE, [(7, "Ada", 42), (8, "Grace", None), (Value(D.U64, 2**64 - 1), "Max", Value(D.I32, -1))])
+    t = Table.from_rows(spark, STOCK, [(310, "bolt", 125), (311, "washer", None), (Value(D.U64, 2**64 - 1), "rivet", Value(D.I32, -1))])
     return t.frame.withColumnRenamed(POS, "pos")
 
 
 @query(fact_sql(positions="0,1", rows=2, width="RowWidth", kind="TypeMismatch", null="NullValue"))
 def src_push_row_vec(spark, d):
-    b = ConcurrentTableBuilder(PEOPLE)
+    b = ConcurrentTableBuilder(STOCK)
     positions = [b.push_row_vec([1, "a", None]), b.push_row_vec([2, "b", 5])]
     bad = [refused(lambda r=r: b.push_row_vec(r)) for r in ([1], [Value(D.I64, 1), "a", None], [1, None, None])]
     return facts(spark, positions=",".join(map(str, positions)), rows=b.into_table(spark).row_count, width=bad[0], kind=bad[1], null=bad[2])
@@ -142,10 +146,10 @@ def src_push_row_vec(spark, d):
 
 @query(fact_sql(last="2", conflict="ExtraConflict", closed="ColumnNotFound"))
 def src_push_extras(spark, d):
-    open_ = PEOPLE.with_unknown_fields(UnknownFields.STORE)
+    open_ = STOCK.with_unknown_fields(UnknownFields.STORE)
     t = Table.from_rows(spark, open_, [(1, "a", None)], [[("tier", "1"), ("tier", "2")]])
     row = [(1, "a", None)]
-    return facts(spark, last=t.cell_named(0, "tier").payload, conflict=refused(lambda: Table.from_rows(spark, PEOPLE, row, [[("name", "x")]])), closed=refused(lambda: Table.from_rows(spark, PEOPLE, row, [[("tier", "x")]])))
+    return facts(spark, last=t.cell_named(0, "tier").payload, conflict=refused(lambda: Table.from_rows(spark, STOCK, row, [[("label", "x")]])), closed=refused(lambda: Table.from_rows(spark, STOCK, row, [[("tier", "x")]])))
 
 
 @query("SELECT count(*) AS rows, sum(CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END)::BIGINT AS nulls, 'NullValue' AS strict FROM nation")
@@ -174,7 +178,7 @@ def src_concurrent(spark, d):
 
 @query(fact_sql(range="1..3", refused="TypeMismatch", rows=3))
 def src_extend(spark, d):
-    b = ConcurrentTableBuilder(PEOPLE)
+    b = ConcurrentTableBuilder(STOCK)
     b.push_row((1, "a", None))
     r = b.extend_rows([(2, "b", 1), (3, "c", 2)])
     return facts(spark, range=f"{r.start}..{r.stop}", refused=refused(lambda: b.extend_rows([(4, "d", 1), (5, 6, 7)])), rows=b.row_count)
@@ -254,7 +258,7 @@ def scan_cell_named(spark, d):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def extras_lookup(spark, d):
     t = events(spark, d)
-    return t.frame.select("event_id", t.extra("k").cast("long").alias("k"))
+    return t.frame.select("event_id", t.extra("k", D.I64).alias("k"))
 
 
 @query("SELECT count(*)::VARCHAR AS rows, '3' AS columns, 'false' AS empty FROM nation")
@@ -266,9 +270,9 @@ def meta_table(spark, d):
 # sinks
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, CAST(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': nullif(n_regionkey, 2)}) AS VARCHAR) AS json FROM nation")
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CAST(to_json({'o_orderkey': o_orderkey, 'o_custkey': nullif(o_custkey, 7), 'o_totalprice': o_totalprice, 'o_orderpriority': o_orderpriority}) AS VARCHAR) AS json FROM orders")
 def row_json(spark, d):
-    return formats.json_lines(nations(spark, d)).withColumnRenamed(POS, "pos")
+    return formats.json_lines(orders(spark, d)).withColumnRenamed(POS, "pos")
 
 
 @query("SELECT '[' || string_agg(CAST(to_json({'r_regionkey': r_regionkey, 'r_name': r_name}) AS VARCHAR), ',' ORDER BY r_regionkey) || ']' AS json FROM region")
@@ -281,9 +285,9 @@ def sink_json_ordered(spark, d):
     return facts(spark, json=formats.row_order_to_json(regions(spark, d).row_order_named("region", SortDirection.DESCENDING)))
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_nationkey || ',' || n_name || ',' || coalesce(nullif(n_regionkey, 2)::VARCHAR, '') AS csv FROM nation")
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) - 1 AS pos, l_orderkey || ',' || l_linenumber || ',' || l_partkey || ',' || l_quantity || ',' || l_extendedprice || ',' || l_returnflag AS csv FROM lineitem")
 def sink_csv(spark, d):
-    return formats.csv_lines(nations(spark, d)).withColumnRenamed(POS, "pos")
+    return formats.csv_lines(line_table(spark, d)).withColumnRenamed(POS, "pos")
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[\",\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS csv FROM documents")
@@ -291,17 +295,17 @@ def sink_csv_quoting(spark, d):
     return read(spark, d, "documents").select("doc_id", formats.quoted(F.col("text")).alias("csv"))
 
 
-@query(fact_sql(json='{"query name":"café & tea","limit":10}', twice="DuplicateArgument", unnamed="UnnamedArgument"))
+@query(fact_sql(json='{"sort key":"prix à 3/4 & plus","pages":6}', twice="DuplicateArgument", unnamed="UnnamedArgument"))
 def sink_args_json(spark, d):
-    a = Arguments([("query name", "café & tea"), ("limit", 10)])
+    a = Arguments([("sort key", "prix à 3/4 & plus"), ("pages", 6)])
     b = Arguments([("limit", 1), ("limit", 2)])
     c = Arguments([(None, 1)])
     return facts(spark, json=formats.arguments_to_json(a), twice=refused(lambda: formats.arguments_to_json(b)), unnamed=refused(lambda: formats.arguments_to_json(c)))
 
 
-@query(fact_sql(uri="query%20name=caf%C3%A9%20%26%20tea&limit=10&limit=20", unnamed="UnnamedArgument"))
+@query(fact_sql(uri="sort%20key=prix%20%C3%A0%203%2F4%20%26%20plus&pages=6&pages=8", unnamed="UnnamedArgument"))
 def sink_args_uri(spark, d):
-    a = Arguments([("query name", "café & tea"), ("limit", 10), ("limit", 20)])
+    a = Arguments([("sort key", "prix à 3/4 & plus"), ("pages", 6), ("pages", 8)])
     return facts(spark, uri=formats.arguments_to_uri(a), unnamed=refused(lambda: formats.arguments_to_uri(Arguments([*a, *Arguments([(None, 1)])]))))
 
 
@@ -327,9 +331,9 @@ def sink_debug_row(spark, d):
     return facts(spark, row=formats.print_row(t, 2), beyond=formats.print_row(t, 50))
 
 
-@query(fact_sql(columns="[(0) id,u64,8] [(1) name (display_name),string,0] [(2) score,i32,4]"))
+@query(fact_sql(columns="[(0) sku,u64,8] [(1) label (shown_as),string,0] [(2) held,i32,4]"))
 def sink_debug_cols(spark, d):
-    return facts(spark, columns=formats.print_column(Table.empty(spark, PEOPLE)))
+    return facts(spark, columns=formats.print_column(Table.empty(spark, STOCK)))
 
 
 # schema
@@ -338,24 +342,24 @@ def sink_debug_cols(spark, d):
 @query(fact_sql(collision="DuplicateColumn", same="none", size=3))
 def sch_new(spark, d):
     clash = columns(("key", D.I64), ("other", D.I64, "key"))
-    return facts(spark, collision=refused(lambda: Schema(clash)), same=refused(lambda: Schema(columns(("key", D.I64, "key")))), size=len(PEOPLE))
+    return facts(spark, collision=refused(lambda: Schema(clash)), same=refused(lambda: Schema(columns(("key", D.I64, "key")))), size=len(STOCK))
 
 
-@query(fact_sql(name="name", alias="display_name", kind="string", nullable=False, null_column=True))
+@query(fact_sql(name="label", alias="shown_as", kind="string", nullable=False, null_column=True))
 def sch_col(spark, d):
-    c = PEOPLE.column(1)
+    c = STOCK.column(1)
     return facts(spark, name=c.name, alias=c.alias, kind=c.data_type, nullable=c.is_nullable, null_column=ColumnSpec("n", D.NULL).is_nullable)
 
 
 @query(fact_sql(closed="reject", opened="store", equal=False))
 def sch_policy(spark, d):
-    open_ = PEOPLE.with_unknown_fields(UnknownFields.STORE)
-    return facts(spark, closed=PEOPLE.unknown_fields.value, opened=open_.unknown_fields.value, equal=PEOPLE == open_)
+    open_ = STOCK.with_unknown_fields(UnknownFields.STORE)
+    return facts(spark, closed=STOCK.unknown_fields.value, opened=open_.unknown_fields.value, equal=STOCK == open_)
 
 
 @query(fact_sql(name=1, alias=1, other="None", case="None", beyond="None"))
 def sch_lookup(spark, d):
-    return facts(spark, name=PEOPLE.column_index("name"), alias=PEOPLE.column_index("display_name"), other=PEOPLE.column_index("x"), case=PEOPLE.column_index("Name"), beyond=PEOPLE.column(9))
+    return facts(spark, name=STOCK.column_index("label"), alias=STOCK.column_index("shown_as"), other=STOCK.column_index("x"), case=STOCK.column_index("Label"), beyond=STOCK.column(9))
 
 
 TYPE_ROWS = [("null", 0, False, False), ("bool", 1, False, False), ("i8", 1, True, True), ("i16", 2, True, True), ("i32", 4, True, True), ("i64", 8, True, True), ("u8", 1, True, True), ("u16", 2, True, True), ("u32", 4, True, True), ("u64", 8, True, True), ("f32", 4, True, False), ("f64", 8, True, False), ("string", 0, False, False), ("bytes", 0, False, False), ("uuid", 16, False, False)]
@@ -547,14 +551,14 @@ def mixed_summary(spark, d):
     return out.withColumns({f"{c}_avg": F.round(f"{c}_avg", 6) for c in kinds})
 
 
-@query("SELECT count(DISTINCT nullif(n_regionkey, 2)) AS n FROM nation")
+@query("SELECT count(DISTINCT nullif(o_custkey, 7)) AS n FROM orders")
 def distinct_keys(spark, d):
-    return nations(spark, d).frame.agg(aggregates.distinct_keys("n_regionkey").alias("n"))
+    return orders(spark, d).frame.agg(aggregates.distinct_keys("o_custkey").alias("n"))
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation QUALIFY n_regionkey = 2")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer QUALIFY c_mktsegment = 'BUILDING'")
 def agg_null_rows(spark, d):
-    return nations(spark, d).frame.where(F.col("n_regionkey").isNull()).select(F.col(POS).alias("pos"))
+    return customers(spark, d).frame.where(F.col("c_mktsegment").isNull()).select(F.col(POS).alias("pos"))
 
 
 # order
@@ -600,23 +604,30 @@ def ord_float_desc(spark, d):
 # index
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation QUALIFY n_regionkey = 3")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer QUALIFY c_mktsegment = 'MACHINERY'")
 def idx_rows(spark, d):
-    i = nations(spark, d).index(2)
-    assert i.rows("3").isEmpty() and i.rows(Value(D.U32, 3)).isEmpty()
-    return i.rows(3).withColumnRenamed(POS, "pos")
+    numbers = nations(spark, d).index(2)
+    assert numbers.rows("3").isEmpty() and numbers.rows(Value(D.U32, 3)).isEmpty() and numbers.rows(3).count() == 5
+    return customers(spark, d).index(2).rows("MACHINERY").withColumnRenamed(POS, "pos")
 
 
-@query("SELECT n_regionkey AS key, list(pos ORDER BY pos) AS positions FROM (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, n_regionkey FROM nation) WHERE n_regionkey <> 2 GROUP BY 1")
+@query("SELECT l_returnflag AS key, pos // 4096 AS part, list(pos ORDER BY pos) AS positions FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) - 1 AS pos, l_returnflag FROM lineitem) GROUP BY 1, 2")
 def idx_build(spark, d):
-    t = nations(spark, d)
+    """Three keys over all line items, each key's list in parts."""
     assert refused(lambda: orders(spark, d).index(2)) == "UnsupportedIndexType"
-    return t.index(2).groups()
+    t = line_table(spark, d)
+    return t.index(t.schema.named("flag")).groups(span=4096)
+
+
+@query("SELECT nullif(o_custkey, 7) AS key, 0::BIGINT AS part, list(pos ORDER BY pos) AS positions FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_custkey FROM orders) WHERE o_custkey <> 7 GROUP BY 1")
+def idx_many_keys(spark, d):
+    """A key for each customer, nulls apart."""
+    return orders(spark, d).index(1).groups()
 
 
-@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation QUALIFY n_regionkey = 2")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer QUALIFY c_mktsegment = 'BUILDING'")
 def idx_nulls(spark, d):
-    return nations(spark, d).index(2).null_rows().withColumnRenamed(POS, "pos")
+    return customers(spark, d).index(2).null_rows().withColumnRenamed(POS, "pos")
 
 
 @query("SELECT count(DISTINCT o_orderpriority)::VARCHAR AS keys FROM orders")
@@ -625,12 +636,15 @@ def idx_meta(spark, d):
     return facts(spark, keys=t.index(t.schema.named("priority")).distinct_key_count())
 
 
-@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS pos, r_regionkey, r_name FROM region UNION ALL SELECT (SELECT count(*) FROM region) + row_number() OVER (ORDER BY r_regionkey) - 1, r_regionkey, r_name FROM region")
+@query("SELECT row_number() OVER (ORDER BY l_linenumber <> 1, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) - 1 AS pos, l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
 def app_table(spark, d):
-    t = regions(spark, d)
-    both, new = t.append(t)
-    assert new == range(t.row_count, 2 * t.row_count) and refused(lambda: t.append(nations(spark, d))) == "SchemaMismatch"
-    return both.frame.select(F.col(POS).alias("pos"), "r_regionkey", "r_name")
+    """The first lines of all orders, then the others behind them."""
+    t, more = line_table(spark, d, "l_linenumber = 1"), line_table(spark, d, "l_linenumber <> 1")
+    both, new = t.append(more)
+    assert new == range(t.row_count, t.row_count + more.row_count) and both.row_count == new.stop
+    assert refused(lambda: t.append(nations(spark, d))) == "SchemaMismatch"
+    return both.frame.select(F.col(POS).alias("pos"), "l_orderkey", "l_linenumber", "l_extendedprice")
+
 
 
 # text
@@ -768,7 +782,7 @@ def val_convert(spark, d):
     return facts(spark, i64=Value(D.U8, 7).to_i64(), f64=Value(D.U8, 7).to_f64(), range=refused(Value(D.U64, 2**63).to_i64), text=refused(Value.of("7").to_i64), flag=refused(Value.of(True).to_f64), equal=Value(D.I32, 1) == Value(D.I64, 1), nan=Value.of(float("nan")) == Value.of(float("nan")))
 
 
-@query("SELECT * FROM (VALUES ('item', [0::BIGINT, 2]), ('other', [3])) t(name, positions)")
+@query("SELECT * FROM (VALUES ('item', 0::BIGINT, [0::BIGINT, 2]), ('other', 0, [3])) t(name, part, positions)")
 def arg_index(spark, d):
     a = Arguments([("item", 10), (None, False), ("item", 20), ("other", 30)])
     i = a.index()
@@ -784,9 +798,75 @@ def arg_named(spark, d):
     return facts(spark, first=first, second=second, absent=absent, removed=removed, left=",".join(str(x.value.payload) for x in a), contains=a.contains("item"))
 
 
+@query(fact_sql(first="4.5", beyond="None", named="blue", replaced=True, outside=False, size=3, cleared=0))
+def arg_get(spark, d):
+    """Reads and writes by position and by name."""
+    a = Arguments([(None, 4.5), ("colour", "red"), ("colour", "grey")])
+    first, beyond = a.get(0).value.payload, a.get(3)
+    replaced, outside = a.set(1, "blue"), a.set(7, "none")
+    named, size = a.get_named("colour").payload, len(a)
+    a.clear()
+    return facts(spark, first=first, beyond=beyond, named=named, replaced=replaced, outside=outside, size=size, cleared=len(a))
+
+
+@query(fact_sql(kinds="null,bool,i64,u64,f64,string,bytes,uuid", refused="TypeMismatch", narrow="OutOfRange", single="0.10000000149011612"))
+def val_from(spark, d):
+    """The type that a plain scalar takes, and what a type takes."""
+    import uuid
+
+    raw = [None, True, -5, 2**63, 0.5, "t", b"\x01", uuid.UUID(int=7)]
+    return facts(spark, kinds=",".join(Value.of(r).data_type.label for r in raw), refused=refused(lambda: Value.of([1])), narrow=refused(lambda: Value(D.I8, 200)), single=Value(D.F32, 0.1).payload)
+
+
+@query(fact_sql(text="stone", data="ff00", text_of_bytes="TypeMismatch", bytes_of_text="TypeMismatch", flag=True, null=True, widths="8,0,16"))
+def val_as(spark, d):
+    """Payloads asked for by type, and types themselves."""
+    t, b = Value.of("stone"), Value.of(b"\xff\x00")
+    return facts(spark, text=t.as_str(), data=b.as_bytes().hex(), text_of_bytes=refused(b.as_str), bytes_of_text=refused(t.as_bytes), flag=Value.of(True).as_bool(), null=Value.of(None).is_null, widths=",".join(str(k.width) for k in (D.U64, D.STRING, D.UUID)))
+
+
 # SQL
 
 
+@query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_totalprice > 150000 AND o_orderstatus <> ';' GROUP BY 1")
+def sql_batch(spark, d):
+    """Several statements at once; a semicolon in a literal ends none."""
+    read(spark, d, "orders").createOrReplaceTempView("orders")
+    plan_sql.execute_batch(spark, "CREATE OR REPLACE TEMP VIEW dear AS SELECT * FROM orders WHERE o_totalprice > 150000 AND o_orderstatus <> ';'; -- one; two\nCREATE OR REPLACE TEMP VIEW told AS SELECT o_orderpriority AS priority, count(*) AS n FROM dear GROUP BY 1;")
+    return plan_sql.run(spark, "SELECT priority, n FROM told")
+
+
+@query("SELECT (SELECT count(*) FROM region)::VARCHAR AS kept, '0' AS undone, 'false,true' AS open_then_closed, (SELECT count(*) FROM region)::VARCHAR AS last_row")
+def sql_tx(spark, d):
+    """Transactions and state of a SQLite connection, over the regions."""
+    db = SqliteDatabase.open_in_memory()
+    db.execute_batch("CREATE TABLE kept (id INTEGER, name TEXT); CREATE TABLE undone (id INTEGER)")
+    rows = [(r["r_regionkey"], r["r_name"]) for r in read(spark, d, "region").collect()]
+    db.execute("BEGIN")
+    db.execute("INSERT INTO undone VALUES (?)", Arguments([(None, 1)]))
+    opened = db.is_autocommit
+    db.execute("ROLLBACK")
+    db.execute("BEGIN")
+    for key, name in rows:
+        db.execute("INSERT INTO kept VALUES (?, ?)", Arguments([(None, key), (None, name)]))
+    last = db.last_row_id
+    db.execute("COMMIT")
+    count = lambda t: db.query_table(spark, f"SELECT count(*) AS n FROM {t}").cell(0, 0).payload
+    return facts(spark, kept=count("kept"), undone=count("undone"), open_then_closed=f"{opened},{db.is_autocommit}".lower(), last_row=last)
+
+
+@query("SELECT r_regionkey::BIGINT AS id, r_name AS name, lower(hex(encode(r_name))) AS data, r_regionkey * 0.5::DOUBLE AS half, NULL::VARCHAR AS none FROM region")
+def sql_class(spark, d):
+    """Every storage class of SQLite, as the type that a column infers from it."""
+    db = SqliteDatabase.open_in_memory()
+    db.execute("CREATE TABLE region (id INTEGER, name TEXT, data BLOB, half REAL, none TEXT)")
+    for r in read(spark, d, "region").collect():
+        db.execute("INSERT INTO region VALUES (:id, :name, :data, :half, :none)", Arguments([("id", r["r_regionkey"]), ("name", r["r_name"]), ("data", r["r_name"].encode()), ("half", r["r_regionkey"] * 0.5), ("none", None)]))
+    t = db.query_table(spark, "SELECT * FROM region")
+    assert [c.data_type for c in t.schema] == [D.I64, D.STRING, D.BYTES, D.F64, D.NULL]
+    return t.frame.select("id", "name", F.lower(F.hex("data")).alias("data"), "half", F.col("none").cast("string").alias("none"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000 AND o_orderstatus = 'O'")
 def sql_named(spark, d):
     read(spark, d, "orders").createOrReplaceTempView("orders")
@@ -860,13 +940,23 @@ def exp_script(spark, d):
     return read(spark, d, "orders").select("o_orderkey", run(F.col("o_orderkey")).alias("total"))
 
 
-@query(fact_sql(value=50, script=30, changed=31, compile="Compile", evaluate="Evaluate", range="OutOfRange", output="UnsupportedOutput", bounded="Evaluate", native=25))
+@query(fact_sql(value=23, script=54, changed=0, compile="Compile", evaluate="Evaluate", range="OutOfRange", output="UnsupportedOutput", bounded="Evaluate", native=17))
 def exp_eval(spark, d):
+    """A formula, a script that changes its context, errors, and a native function."""
     engine = ExpressionEngine()
-    context = ExpressionContext(multiplier=2, total=0)
-    script = engine.compile_script("total = 0; for i in 1..6 { total += i * multiplier; } let out = total; total += 1; out")
-    small = ExpressionEngine(1000).register("distance2", lambda x, y: x * x + y * y)
-    value = engine.evaluate_expression("x + y * 2", ExpressionContext(x=10, y=20)).payload
+    context = ExpressionContext(low=2, high=5)
+    script = engine.compile_script("let squares = 0; let k = low; while k <= high { squares += k * k; k += 1; } low = 0; squares")
+    small = ExpressionEngine(1000).register("block_distance", lambda x, y: abs(x) + abs(y))
+    value = engine.evaluate_expression("a * 3 - b", ExpressionContext(a=9, b=4)).payload
     said = engine.evaluate(script, context).payload
     none = ExpressionContext()
-    return facts(spark, value=value, script=said, changed=context.get("total").payload, compile=refused(lambda: engine.compile_expression("1 +")), evaluate=refused(lambda: engine.evaluate_expression("missing + 1", none)), range=refused(lambda: none.set("v", Value(D.U64, 2**64 - 1))), output=refused(lambda: engine.evaluate_expression("[1, 2, 3]", none)), bounded=refused(lambda: small.evaluate(small.compile_script("while true {}"), none)), native=small.evaluate_expression("distance2(3, 4)", none).payload)
+    return facts(spark, value=value, script=said, changed=context.get("low").payload, compile=refused(lambda: engine.compile_expression("2 *")), evaluate=refused(lambda: engine.evaluate_expression("unknown - 1", none)), range=refused(lambda: none.set("v", Value(D.U64, 2**64 - 1))), output=refused(lambda: engine.evaluate_expression("[4, 5]", none)), bounded=refused(lambda: small.evaluate(small.compile_script("while true {}"), none)), native=small.evaluate_expression("block_distance(-12, 5)", none).payload)
+
+
+@query(fact_sql(formula="expression", script="script", same=True, other=False))
+def exp_escape(spark, d):
+    """Compiled programs as data: their kind, and trees that compare."""
+    engine = ExpressionEngine()
+    one, again = engine.compile_expression("a + 1"), engine.compile_expression("a  +  1")
+    script = engine.compile_script("let b = a; b + 1")
+    return facts(spark, formula=one.kind, script=script.kind, same=one.tree == again.tree, other=one.tree == script.tree)

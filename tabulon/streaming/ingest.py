@@ -8,7 +8,7 @@ worked out when the table is read."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,8 @@ from tabulon.schema import Schema
 from tabulon.table import Table
 
 BATCH = "_batch"
+#: Batches whose starts are sent to the readers of rows; more are joined.
+SENT_BATCHES = 100_000
 
 
 def append_stream(stream: DataFrame, schema: Schema, path: str, order: list[str], checkpoint: str, **trigger) -> StreamingQuery:
@@ -34,9 +36,8 @@ def read_table(spark: SparkSession, schema: Schema, path: str) -> Table:
     """The published rows; a batch's positions begin where the one before ends."""
     rows = spark.read.parquet(path)
     counts = rows.groupBy(BATCH).agg(F.count(F.lit(1)).alias("_rows"))
-    from pyspark.sql import Window
-
     before = Window.orderBy(BATCH).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(BATCH, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    placed = rows.join(F.broadcast(starts), BATCH).withColumn(POS, F.col(POS) + F.col("_start"))
+    few = counts.limit(SENT_BATCHES + 1).count() <= SENT_BATCHES
+    placed = rows.join(F.broadcast(starts) if few else starts, BATCH).withColumn(POS, F.col(POS) + F.col("_start"))
     return Table(placed.select(*schema.names, POS), schema)

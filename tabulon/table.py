@@ -185,14 +185,20 @@ class ColumnView:
 class Table:
     """Rows of a declared schema."""
 
-    def __init__(self, frame: DataFrame, schema: Schema) -> None:
+    def __init__(self, frame: DataFrame, schema: Schema, rows: int | None = None) -> None:
         self.frame, self.schema = frame, schema
+        if rows is not None:  # known already, so never counted
+            self.row_count = rows
+
+    def _like(self, frame: DataFrame) -> Table:
+        """Another state of the same rows; a count that is known stays known."""
+        return Table(frame, self.schema, self.__dict__.get("row_count"))
 
     # sources
 
     @staticmethod
     def empty(spark: SparkSession, schema: Schema) -> Table:
-        return Table(rows_frame(spark, schema, []), schema)
+        return Table(rows_frame(spark, schema, []), schema, 0)
 
     @staticmethod
     def from_rows(spark: SparkSession, schema: Schema, rows: Iterable[Sequence], extras: Sequence[Iterable[tuple[str, object]]] | None = None) -> Table:
@@ -202,13 +208,18 @@ class Table:
         for i, row in enumerate(rows):
             check_row(schema, row)
             kept.append(check_extras(schema, extras[i]) if extras else {})
-        return Table(rows_frame(spark, schema, rows, kept), schema)
+        return Table(rows_frame(spark, schema, rows, kept), schema, len(rows))
 
     @staticmethod
-    def from_frame(frame: DataFrame, schema: Schema, order: list[str], validate: bool = True) -> Table:
+    def from_frame(frame: DataFrame, schema: Schema, order: list[str], validate: bool = True, extras: Mapping[str, tuple[Column, DataType]] | None = None) -> Table:
         """A table of a DataFrame's columns (its own, by name), with positions in
         the order of a key. With ``validate`` nulls and ranges are counted first,
-        in one pass; without, a bad cell fails the query that meets it."""
+        in one pass; without, a bad cell fails the query that meets it. ``extras``
+        are expressions over the frame with their types, set where they are not
+        null, in the same pass."""
+        extras = dict(extras or {})
+        for name in extras:
+            check_extras(schema, [(name, None)])
         missing = [c.name for c in schema if c.name not in frame.columns]
         if missing:
             raise TableError.ColumnNotFound(name=missing[0])
@@ -224,11 +235,14 @@ class Table:
                     raise TableError.NullValue(column=spec.name) if null else TableError.TypeMismatch(column=spec.name, expected=str(spec.data_type), actual="a value out of range")
         guarded = frame if validate else _guarded(frame, schema)
         keep = [c for c in order if c not in schema.names]
-        placed = with_positions(guarded.select(*schema.names, *keep), order).drop(*keep)
-        typed = placed.select(*[F.col(c.name).cast(c.data_type.spark).alias(c.name, metadata=c.field().metadata) for c in schema], POS)
-        if schema.is_open:
-            typed = typed.withColumn(EXTRAS, F.create_map().cast(EXTRAS_TYPE))
-        return Table(typed, schema)
+        own = {f"_extra{i}": text.cast("string") for i, (text, _) in enumerate(extras.values())}
+        placed = with_positions(guarded.select(*schema.names, *keep, *[text.alias(c) for c, text in own.items()]), order).drop(*keep)
+        cells = [F.col(c.name).cast(c.data_type.spark).alias(c.name, metadata=c.field().metadata) for c in schema]
+        if not schema.is_open:
+            return Table(placed.select(*cells, POS), schema)
+        entries = [F.struct(F.lit(name).alias("key"), F.struct(F.lit(kind.label).alias("type"), F.col(c).alias("text")).alias("value")) for c, (name, (_, kind)) in zip(own, extras.items(), strict=True)]
+        made = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["text"].isNotNull())) if entries else F.create_map()
+        return Table(placed.select(*cells, POS, made.cast(EXTRAS_TYPE).alias(EXTRAS)), schema)
 
     # meta
 
@@ -277,9 +291,14 @@ class Table:
             raise TableError.ColumnNotFound(name=name)
         return self._row_or_raise(row).get_named(name)
 
-    def extra(self, name: str) -> Column:
-        """Text of an extra as a column; null where a row has none."""
-        return F.col(EXTRAS)[name]["text"]
+    def extra(self, name: str, kind: DataType | None = None) -> Column:
+        """Text of an extra as a column, null where a row has none; with a type the
+        value itself, null where the extra is of another type."""
+        cell = F.col(EXTRAS)[name]
+        if kind is None:
+            return cell["text"]
+        text = F.unhex(cell["text"]) if kind is DataType.BYTES else cell["text"]
+        return F.when(cell["type"] == kind.label, text.cast(kind.spark))
 
     def column(self, position: int) -> ColumnView | None:
         spec = self.schema.column(position)
@@ -335,7 +354,7 @@ class Table:
             if not spec.is_nullable:
                 cell = F.when(cell.isNotNull(), cell).otherwise(F.raise_error(f"column {name!r} takes no null").cast(spec.data_type.spark))
             made[name] = cell.alias(name, metadata=spec.field().metadata)
-        return Table(self.frame.select(*[made.get(c, F.col(c)) for c in self.frame.columns]), self.schema)
+        return self._like(self.frame.select(*[made.get(c, F.col(c)) for c in self.frame.columns]))
 
     # mutation
 
@@ -349,7 +368,7 @@ class Table:
         check_cell(spec, value)
         put = F.lit(to_spark(value, spec.data_type)).cast(spec.data_type.spark)
         cell = F.when(F.col(POS) == row, put).otherwise(F.col(spec.name)).alias(spec.name, metadata=spec.field().metadata)
-        return Table(self.frame.select(*[cell if c == spec.name else F.col(c) for c in self.frame.columns]), self.schema)
+        return self._like(self.frame.select(*[cell if c == spec.name else F.col(c) for c in self.frame.columns]))
 
     def set_named(self, row: int, name: str, value: object) -> Table:
         """A declared column, else an extra if the schema is open, replacing."""
@@ -371,12 +390,12 @@ class Table:
         one = F.create_map(F.lit(name), F.struct(F.lit(kind.label).alias("type"), text.cast("string").alias("text"))).cast(EXTRAS_TYPE)
         rest = F.map_filter(F.coalesce(F.col(EXTRAS), F.create_map().cast(EXTRAS_TYPE)), lambda k, _: k != name)
         put = F.map_concat(rest, one)
-        return Table(self.frame.withColumn(EXTRAS, put if rows is None else F.when(rows, put).otherwise(F.col(EXTRAS))), self.schema)
+        return self._like(self.frame.withColumn(EXTRAS, put if rows is None else F.when(rows, put).otherwise(F.col(EXTRAS))))
 
     def pop_row(self) -> tuple[Table, bool]:
         """The table without its last row, and whether there was one."""
         n = self.row_count
-        return (Table(self.frame.where(F.col(POS) < n - 1), self.schema), True) if n else (self, False)
+        return (Table(self.frame.where(F.col(POS) < n - 1), self.schema, n - 1), True) if n else (self, False)
 
     def row_mut(self, position: int) -> RowMut | None:
         return RowMut(self, position) if 0 <= position < self.row_count else None
@@ -400,9 +419,9 @@ class Table:
         Schemas must be equal, policy included."""
         if self.schema != other.schema:
             raise TableError.SchemaMismatch()
-        n = self.row_count
+        n, more = self.row_count, other.row_count
         behind = other.frame.withColumn(POS, F.col(POS) + F.lit(n))
-        return Table(self.frame.unionByName(behind), self.schema), range(n, n + other.row_count)
+        return Table(self.frame.unionByName(behind), self.schema, n + more), range(n, n + more)
 
 
 def _violations(schema: Schema) -> list[tuple[ColumnSpec, bool, Column]]:
@@ -498,7 +517,7 @@ class RowsMut:
         if min_rows < 1:
             raise ValueError("min_rows must be positive")
         parts = max(1, len(self) // min_rows)
-        spread = Table(self.table.frame.repartitionByRange(min(parts, 10_000), POS), self.table.schema)
+        spread = self.table._like(self.table.frame.repartitionByRange(min(parts, 10_000), POS))
         return RowsMut(spread, self.start, self.end).for_each(changes)
 
 

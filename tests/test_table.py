@@ -14,13 +14,13 @@ from tabulon.table import Table, split_update
 from tabulon.types import DataType as D
 from tabulon.values import Value
 
-PEOPLE = Schema([ColumnSpec("id", D.U64), ColumnSpec("name", D.STRING).with_alias("display_name"), ColumnSpec("score", D.I32).nullable()])
+STOCK = Schema([ColumnSpec("sku", D.U64), ColumnSpec("label", D.STRING).with_alias("shown_as"), ColumnSpec("held", D.I32).nullable()])
 COUNT = Schema([ColumnSpec("count", D.I64)])
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return Table.from_rows(spark, PEOPLE, [(7, "Ada", 42), (8, "Grace", None)])
+def stock(spark):
+    return Table.from_rows(spark, STOCK, [(310, "bolt", 125), (311, "washer", None)])
 
 
 def numbers(spark, values, kind=D.I64, nullable=True):
@@ -31,27 +31,27 @@ def listed(df):
     return [r[0] for r in df.collect()]
 
 
-def test_reads(people):
-    assert people.cell_named(0, "display_name") == Value.of("Ada")
-    assert people.cell(1, 2).is_null
-    assert [v.payload for v in people.row(0)] == [7, "Ada", 42]
-    assert people.row(5) is None and people.row(0).get_named("x") is None
-    assert [r.position for r in people.iter_rows()] == [0, 1]
-    assert listed(people.rows(descending=True).select(POS)) == [1, 0]
+def test_reads(stock):
+    assert stock.cell_named(0, "shown_as") == Value.of("bolt")
+    assert stock.cell(1, 2).is_null
+    assert [v.payload for v in stock.row(0)] == [310, "bolt", 125]
+    assert stock.row(5) is None and stock.row(0).get_named("x") is None
+    assert [r.position for r in stock.iter_rows()] == [0, 1]
+    assert listed(stock.rows(descending=True).select(POS)) == [1, 0]
 
 
-def test_error_order(spark, people):
+def test_error_order(spark, stock):
     with pytest.raises(TableError.RowOutOfBounds):
-        people.cell(9, 9)
+        stock.cell(9, 9)
     with pytest.raises(TableError.ColumnNotFound):
-        people.cell_named(9, "x")
+        stock.cell_named(9, "x")
     with pytest.raises(TableError.NullValue):
-        people.set_cell(0, 1, None)
+        stock.set_cell(0, 1, None)
     with pytest.raises(TableError.TypeMismatch):
-        people.set_cell(0, 0, Value(D.I64, 1))
+        stock.set_cell(0, 0, Value(D.I64, 1))
     for row, kind in (((1,), TableError.RowWidth), ((None, 5, 1), TableError.NullValue), ((1, 5, 1), TableError.TypeMismatch)):
         with pytest.raises(kind):
-            Table.from_rows(spark, PEOPLE, [row])
+            Table.from_rows(spark, STOCK, [row])
     with pytest.raises(TableError.DuplicateColumn):
         Schema([ColumnSpec("key", D.I64), ColumnSpec("b", D.I64).with_alias("key")])
     null_column = Schema([ColumnSpec("n", D.NULL)])
@@ -59,21 +59,21 @@ def test_error_order(spark, people):
         Table.from_rows(spark, null_column, [(1,)])
 
 
-def test_debug_text(spark, people):
-    assert formats.print_table(people) == "7, Ada, 42\n8, Grace, null\n"
-    assert formats.print_rows(people, 1) == "7, Ada, 42\n"
-    assert formats.print_row(people, 2) == "Max row is:2\n"
-    assert formats.print_column(people) == "[(0) id,u64,8] [(1) name (display_name),string,0] [(2) score,i32,4]"
+def test_debug_text(spark, stock):
+    assert formats.print_table(stock) == "310, bolt, 125\n311, washer, null\n"
+    assert formats.print_rows(stock, 1) == "310, bolt, 125\n"
+    assert formats.print_row(stock, 2) == "Max row is:2\n"
+    assert formats.print_column(stock) == "[(0) sku,u64,8] [(1) label (shown_as),string,0] [(2) held,i32,4]"
     scalars = Schema([ColumnSpec("flag", D.BOOL), ColumnSpec("ratio", D.F64), ColumnSpec("payload", D.BYTES)])
     assert formats.print_table(Table.from_rows(spark, scalars, [(True, 1.25, b"\x00\xff")])) == "1, 1.25, 00ff\n"
 
 
 def test_index(spark):
-    t = Table.from_rows(spark, PEOPLE, [(1, "Ada", 10), (2, "Grace", None), (3, "Ada", 20)])
-    assert listed(t.index(1).rows("Ada")) == [0, 2] and listed(t.index(1).rows("x")) == []
-    assert listed(t.index(2).rows(20)) == [2] and listed(t.index(2).null_rows()) == [1]
+    t = Table.from_rows(spark, STOCK, [(41, "nut", 64), (42, "pin", None), (43, "nut", 9)])
+    assert listed(t.index(1).rows("nut")) == [0, 2] and listed(t.index(1).rows("x")) == []
+    assert listed(t.index(2).rows(9)) == [2] and listed(t.index(2).null_rows()) == [1]
     assert t.index(2).distinct_key_count() == 2
-    assert listed(t.index(0).rows(Value(D.I32, 1))) == [] and listed(t.index(0).rows(Value(D.U8, 1))) == [0]
+    assert listed(t.index(0).rows(Value(D.I32, 41))) == [] and listed(t.index(0).rows(Value(D.U8, 41))) == [0]
     with pytest.raises(TableError.UnsupportedIndexType):
         numbers(spark, [1.0], D.F64).index(0)
 
@@ -141,12 +141,12 @@ def test_fold_saturates_at_every_step(spark):
         assert fold_saturating(t.frame.repartition(3), "v", D.I8) == want
 
 
-def test_mutation(spark, people):
-    changed = people.set_cell(1, 2, 5).set_named(0, "display_name", "Bob")
-    assert [tuple(r)[1:3] for r in changed.frame.orderBy(POS).collect()] == [("Bob", 42), ("Grace", 5)]
-    assert people.cell(1, 2).is_null
-    popped, there = people.pop_row()
-    assert there and popped.row_count == 1 and Table.empty(spark, PEOPLE).pop_row()[1] is False
+def test_mutation(spark, stock):
+    changed = stock.set_cell(1, 2, 5).set_named(0, "shown_as", "screw")
+    assert [tuple(r)[1:3] for r in changed.frame.orderBy(POS).collect()] == [("screw", 125), ("washer", 5)]
+    assert stock.cell(1, 2).is_null
+    popped, there = stock.pop_row()
+    assert there and popped.row_count == 1 and Table.empty(spark, STOCK).pop_row()[1] is False
     s = Schema([ColumnSpec("arg", D.U32), ColumnSpec("result", D.U32)], UnknownFields.STORE)
     t = Table.from_rows(spark, s, [(i, 0) for i in range(100)])
     out = split_update(t, 40, {"result": F.col("arg") * 2, "partition": F.lit("left")}, {"result": F.col("arg") * 3, "partition": F.lit("right")})
@@ -160,27 +160,27 @@ def test_mutation(spark, people):
 
 
 def test_extras(spark):
-    s = PEOPLE.with_unknown_fields(UnknownFields.STORE)
+    s = STOCK.with_unknown_fields(UnknownFields.STORE)
     t = Table.from_rows(spark, s, [(1, "a", None), (2, "b", 1)], [[("x", 1), ("x", True)], [("y", b"\x01")]])
     assert t.cell_named(0, "x") == Value.of(True) and t.cell_named(1, "y") == Value.of(b"\x01") and t.cell_named(1, "x") is None
     assert t.set_named(1, "x", 2.5).cell_named(1, "x") == Value.of(2.5)
     with pytest.raises(TableError.ExtraConflict):
-        Table.from_rows(spark, PEOPLE, [(1, "a", None)], [[("display_name", 1)]])
+        Table.from_rows(spark, STOCK, [(1, "a", None)], [[("shown_as", 1)]])
 
 
-def test_builder(spark, people):
-    b = ConcurrentTableBuilder(PEOPLE)
+def test_builder(spark, stock):
+    b = ConcurrentTableBuilder(STOCK)
     assert b.is_empty and b.push_row((1, "x", None)) == 0
     with pytest.raises(TableError.TypeMismatch):
         b.extend_rows([(2, "y", 1), (3, 4, 5)])
     assert b.row_count == 1
-    assert b.extend_frame(spark.createDataFrame([(5, "z", 1)], "id long, name string, score int"), ["id"]) == range(1, 2)
+    assert b.extend_frame(spark.createDataFrame([(5, "z", 1)], "sku long, label string, held int"), ["sku"]) == range(1, 2)
     assert b.push_row((6, "w", 2)) == 2
-    other = ConcurrentTableBuilder(PEOPLE.with_unknown_fields(UnknownFields.STORE))
+    other = ConcurrentTableBuilder(STOCK.with_unknown_fields(UnknownFields.STORE))
     with pytest.raises(TableError.SchemaMismatch):
-        other.append_to(people)
-    t, new = b.append_to(people)
-    assert new == range(2, 5) and [r["name"] for r in t.rows().collect()] == ["Ada", "Grace", "x", "z", "w"]
+        other.append_to(stock)
+    t, new = b.append_to(stock)
+    assert new == range(2, 5) and [r["label"] for r in t.rows().collect()] == ["bolt", "washer", "x", "z", "w"]
 
 
 def test_frame_validation(spark):
@@ -214,3 +214,54 @@ def test_medians_of_many_values(spark):
 def test_index_groups_in_parts(spark):
     t = numbers(spark, [i % 2 for i in range(20)])
     assert sorted(tuple(map(str, r)) for r in t.index(0).groups(span=10).collect()) == sorted((str(k), str(p), str([x for x in range(20) if x % 2 == k and x // 10 == p])) for k in (0, 1) for p in (0, 1))
+
+
+def test_bounds_are_found_by_halving(spark):
+    from tabulon.operators.positions import bounds_under
+
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        bounds = [F.struct(F.lit(3 * i).cast("long").alias("a"), F.lit("m").alias("b")) for i in range(n)]
+        df = spark.range(-3, 3 * n + 3).withColumn("b", F.when(F.col("id") % 2 == 0, "z"))
+        got = [tuple(r) for r in df.select("id", bounds_under(bounds, F.struct("id", "b"))).collect()]
+        assert got == [(i, sum((3 * k, "m") <= (i, "z" if i % 2 == 0 else "") for k in range(n))) for i in range(-3, 3 * n + 3)]
+
+
+def test_average_of_any_long_is_exact(spark):
+    from tabulon.operators import aggregates
+
+    rng = random.Random(5)
+    values = [rng.randint(-(2**63), 2**63 - 1) for _ in range(400)] + [2**63 - 1] * 50 + [-(2**63)] * 49
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert df.agg(aggregates.average("v", D.I64)).first()[0] == float(sum(values)) / len(values)
+    assert df.limit(0).agg(aggregates.average("v", D.I64)).first()[0] is None
+
+
+def test_medians_of_many_values(spark):
+    from tabulon.operators import aggregates
+
+    df = spark.range(5000).selectExpr("(id * 48271) % 5000 AS a", "IF(id % 3 = 0, NULL, id % 7) AS b", "CAST(id AS DOUBLE) / 8 AS c", "CAST(NULL AS LONG) AS d")
+    want = df.agg(*[F.median(c).alias(c) for c in "abcd"]).first().asDict()
+    for small in (10, 300, 100_000):
+        assert aggregates.medians(df, list("abcd"), small) == want
+
+
+def test_extras_of_a_frame(spark):
+    schema = Schema([ColumnSpec("id", D.I64)], UnknownFields.STORE)
+    df = spark.createDataFrame([(2, '{"k": 5}', "x"), (1, "{}", None)], "id long, props string, tag string")
+    t = Table.from_frame(df, schema, ["id"], extras={"k": (F.get_json_object("props", "$.k"), D.I64), "tag": (F.col("tag"), D.STRING)})
+    assert t.cell_named(1, "k") == Value(D.I64, 5) and t.cell_named(0, "k") is None and t.cell_named(1, "tag") == Value.of("x")
+    told = t.frame.orderBy(POS).select(t.extra("k", D.I64), t.extra("tag", D.I64), t.extra("tag")).collect()
+    assert [tuple(r) for r in told] == [(None, None, None), (5, None, "x")]
+    with pytest.raises(TableError.ExtraConflict):
+        Table.from_frame(df, schema, ["id"], extras={"id": (F.lit(1), D.I64)})
+    with pytest.raises(TableError.ColumnNotFound):
+        Table.from_frame(df, Schema([ColumnSpec("id", D.I64)]), ["id"], extras={"k": (F.lit(1), D.I64)})
+
+
+def test_appends_count_no_row_again(spark):
+    t = numbers(spark, [1, 2, 3])
+    for _ in range(3):
+        t, new = t.append(numbers(spark, [4, 5]))
+    assert "row_count" in t.__dict__ and t.row_count == 9 and new == range(7, 9)
+    assert t.set_cell(8, 0, 6).__dict__["row_count"] == 9 and t.pop_row()[0].row_count == 8
+    assert sorted(listed(t.frame.select(POS))) == list(range(9))
