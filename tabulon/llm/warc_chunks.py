@@ -14,10 +14,16 @@ which Content-Length is the full payload's. Roles come from a grouped minimum
 joined back on narrow rows, large groups over salts; payloads are shuffled at
 most once, by page id and digest, and not at all where revisits are few.
 
+Records are spread over as many archives as their payloads fill, of ARCHIVE_BYTES
+each, about.
+
 Defined results: null payload is an empty one; null URL is written as
-``urn:page:<id>``; a null page id gets no record (it cannot be named) and is
-not returned; repeated page ids with equal payloads are one record each; an
-empty table gives no rows; other columns are passed over.
+``urn:page:<id>``; a page without an id gets a record all the same, whose URN is
+of a kind of its own and is numbered by its place in the table, and comes back
+with a null id; it revisits the page with the smallest id of equal payload, if
+one has an id; repeated page ids with equal payloads are one record each, and
+of those with the smallest id all are responses; an empty table gives no rows;
+other columns are passed over.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.shared import bounded_batches, fresh_path, join_counted, table, written
 
 CHUNK_BYTES = 256 * 1024
+ARCHIVE_BYTES = 1 << 30
 MIN_REVISIT_BYTES = 100
 #: Revisits are sent to the readers of payloads up to so many (about 20 MB);
 #: beyond, payloads are shuffled to them.
@@ -40,18 +47,26 @@ SENT_ROLES = 200_000
 VERSION, CRLF, END = "WARC/1.1", "\r\n", b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
+#: Kinds of record URNs: of pages with an id, and of those without.
+NAMED, UNNAMED = "4000", "4001"
 
 ROW = "record_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, intact boolean"
 
 
-def record_urn(page_id: Column) -> Column:
-    """A record id that can be read back: the page id in the last part of a UUID."""
-    digits = F.lpad(F.lower(F.hex(page_id)), 16, "0")
-    return F.concat(F.lit("<urn:uuid:00000000-0000-4000-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12), F.lit(">"))
+def record_urn(page_id: Column, row_no: Column | None = None) -> Column:
+    """A record id that can be read back: the page id in the last part of a UUID;
+    without one the row's number, in a UUID of another kind."""
+    number = page_id if row_no is None else F.coalesce(page_id, row_no)
+    digits = F.lpad(F.lower(F.hex(number)), 16, "0")
+    kind = F.when(page_id.isNull(), F.lit(UNNAMED)).otherwise(F.lit(NAMED))
+    return F.concat(F.lit("<urn:uuid:00000000-0000-"), kind, F.lit("-"), F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 12), F.lit(">"))
 
 
-def urn_page(urn: str) -> int:
-    value = int(urn.rsplit("-", 2)[1] + urn.rsplit("-", 2)[2].rstrip(">"), 16)
+def urn_page(urn: str) -> int | None:
+    kind, high, low = urn.rstrip(">").rsplit("-", 3)[1:]
+    if kind == UNNAMED:
+        return None
+    value = int(high + low, 16)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
@@ -66,33 +81,36 @@ def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFram
     narrow = told.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest").distinct()
     firsts = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     firsts = written(firsts, "firsts")
-    roles = join_counted(narrow, firsts, "payload_digest", "_n", "page_id", "inner").where("page_id <> _first").select("page_id", "payload_digest", "_first")
+    roles = join_counted(narrow, firsts, "payload_digest", "_n", "page_id", "inner").where("_first IS NOT NULL AND NOT page_id <=> _first").select("page_id", "payload_digest", "_first")
     roles = written(roles, "roles")
     few = roles.count() <= SENT_ROLES
-    out = told.join(F.broadcast(roles) if few else roles, ["page_id", "payload_digest"], "left")
+    roles = roles.withColumnsRenamed({"page_id": "_page", "payload_digest": "_digest"})
+    same = told["page_id"].eqNullSafe(F.col("_page")) & (told["payload_digest"] == F.col("_digest"))
+    out = told.join(F.broadcast(roles) if few else roles, same, "left").drop("_page", "_digest")
     again = F.col("_first").isNotNull()
     return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.col("_first")).drop("_first")
 
 
-def to_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, archives: int = 16) -> DataFrame:
+def to_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, archives: int | None = None) -> DataFrame:
     """The chunked record table of pages (page_id, url, payload binary)."""
+    if archives is None:
+        archives = 1 + (pages.agg(F.sum(F.octet_length("payload").cast("long"))).first()[0] or 0) // ARCHIVE_BYTES
     lines = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
-    told = with_roles(pages.where(F.col("page_id").isNotNull()))
+    told = with_roles(pages).withColumn("row_no", F.monotonically_increasing_id())
     revisit = F.col("record_type") == "revisit"
     http = lines("HTTP/1.1 200 OK", CRLF, "Content-Type: text/html; charset=utf-8", CRLF, "Content-Length: ", F.col("payload_bytes").cast("string"), CRLF, CRLF)
     block = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     # a header line must hold no line break
-    uri = F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))), r"[\r\n]", "%0A")
+    uri = F.regexp_replace(F.coalesce(F.col("url"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))), r"[\r\n]", "%0A")
     head = lines(
-        VERSION, CRLF, "WARC-Type: ", F.col("record_type"), CRLF, "WARC-Record-ID: ", record_urn(F.col("page_id")), CRLF, f"WARC-Date: {DATE}", CRLF, "WARC-Target-URI: ", uri, CRLF,
+        VERSION, CRLF, "WARC-Type: ", F.col("record_type"), CRLF, "WARC-Record-ID: ", record_urn(F.col("page_id"), F.col("row_no")), CRLF, f"WARC-Date: {DATE}", CRLF, "WARC-Target-URI: ", uri, CRLF,
         F.when(revisit, lines("WARC-Refers-To: ", record_urn(F.col("refers_to")), CRLF, f"WARC-Profile: {REVISIT_PROFILE}", CRLF)).otherwise(F.lit("")),
         "WARC-Payload-Digest: sha256:", F.col("payload_digest"), CRLF, "Content-Type: application/http; msgtype=response", CRLF, "Content-Length: ", block.cast("string"), CRLF, CRLF, http,
     )
     kept = F.when(revisit, F.lit(0).cast("long")).otherwise(F.col("payload_bytes"))
     last = F.expr(f"cast(greatest(_kept - 1, 0) div {chunk_bytes} as int)")
     cut = (
-        told.withColumn("row_no", F.monotonically_increasing_id())
-        .withColumn("_head", F.encode(head, "UTF-8"))
+        told.withColumn("_head", F.encode(head, "UTF-8"))
         .withColumn("_kept", kept)
         .withColumn("_last", last)
         .select("page_id", "row_no", "payload", "_head", "_kept", "_last", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("chunk_no"))
@@ -100,7 +118,7 @@ def to_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, archives: int =
     part = F.when(F.col("_kept") == 0, F.lit(b"")).otherwise(F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)))
     data = F.concat(F.when(F.col("chunk_no") == 0, F.col("_head")).otherwise(F.lit(b"")), part, F.when(F.col("chunk_no") == F.col("_last"), F.lit(END)).otherwise(F.lit(b"")))
     return cut.select(
-        F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int").alias("archive"),
+        F.pmod(F.xxhash64(F.coalesce("page_id", "row_no")), F.lit(archives)).cast("int").alias("archive"),
         F.col("page_id").alias("record_id"),
         "row_no",
         "chunk_no",
@@ -114,8 +132,8 @@ class Reader:
     """Parses one record from its chunks in order; holds the hash state, the
     header fields and counts, never the payload."""
 
-    def __init__(self, record_id: int) -> None:
-        self.record_id, self.sha, self.block_left, self.seen, self.ok = record_id, hashlib.sha256(), None, 0, True
+    def __init__(self) -> None:
+        self.sha, self.block_left, self.seen, self.ok = hashlib.sha256(), None, 0, True
         self.fields: dict[str, str] = {}
         self.http: dict[str, str] = {}
         self.tail = b""
@@ -147,7 +165,7 @@ class Reader:
             whole &= self.sha.hexdigest() == said and self.seen == full
             said = self.sha.hexdigest()
         refers = urn_page(f["WARC-Refers-To"]) if "WARC-Refers-To" in f else None
-        return self.record_id, kind, refers, f.get("WARC-Target-URI"), full, said, bool(whole and urn_page(f["WARC-Record-ID"]) == self.record_id)
+        return urn_page(f["WARC-Record-ID"]), kind, refers, f.get("WARC-Target-URI"), full, said, bool(whole)
 
 
 def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,11 +173,11 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     open_: Reader | None = None
     for pdf in batches:
         rows = []
-        for rid, no, data, digest in zip(pdf["record_id"], pdf["chunk_no"], pdf["data"], pdf["chunk_digest"], strict=True):
+        for no, data, digest in zip(pdf["chunk_no"], pdf["data"], pdf["chunk_digest"], strict=True):
             if no == 0:
                 if open_ is not None:
                     rows.append(open_.row())
-                open_ = Reader(int(rid))
+                open_ = Reader()
             open_.feed(data, digest)
         if rows:
             yield _frame(rows, names)
@@ -168,8 +186,9 @@ def _read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["refers_to"] = out["refers_to"].astype("Int64")
+    out = pd.DataFrame(rows, columns=names, dtype=object).astype({"payload_bytes": "int64", "intact": bool})
+    for name in ("record_id", "refers_to"):
+        out[name] = pd.array(out[name].astype(object).where(out[name].notna(), None).tolist(), "Int64")
     return out
 
 
@@ -178,14 +197,15 @@ def read_chunks(chunks: DataFrame) -> DataFrame:
     are parsed where they lie; those of several are brought together in order by
     a sort that can spill, and streamed."""
     bounded_batches(chunks.sparkSession)
-    columns = ["record_id", "row_no", "chunk_no", "data", "chunk_digest"]
+    columns = ["row_no", "chunk_no", "data", "chunk_digest"]
     single = chunks.where("n_chunks = 1").select(*columns)
-    several = chunks.where("n_chunks > 1").select(*columns).repartition("record_id", "row_no").sortWithinPartitions("record_id", "row_no", "chunk_no")
+    several = chunks.where("n_chunks > 1").select(*columns).repartition("row_no").sortWithinPartitions("row_no", "chunk_no")
     return single.mapInPandas(_read, ROW).unionByName(several.mapInPandas(_read, ROW))
 
 
 def export_archive(chunks: DataFrame, archive: int, out) -> int:
-    """Streams one archive's bytes, record by record, to the binary file ``out``."""
+    """Streams one archive's bytes, record by record, to the binary file ``out``:
+    a tool for single archives, which are of ARCHIVE_BYTES, about."""
     size = 0
     for row in chunks.where(F.col("archive") == archive).orderBy("record_id", "row_no", "chunk_no").select("data").toLocalIterator():
         size += out.write(row["data"])
@@ -203,7 +223,7 @@ def parse_file(stream, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
             buffer += more
         fields = dict(x.split(": ", 1) for x in buffer[:end].decode("utf-8").split(CRLF)[1:])
         left = end + 4 + int(fields["Content-Length"]) + 4
-        reader = Reader(urn_page(fields["WARC-Record-ID"]))
+        reader = Reader()
         while left:
             if not buffer:
                 buffer = stream.read(chunk_bytes)
@@ -231,11 +251,11 @@ def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
-  FROM pages WHERE page_id IS NOT NULL),
+  FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+  CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
   TRUE AS intact
 FROM f
 """
