@@ -5,15 +5,22 @@ one sign bit per dimension, with two correction scalars: its norm and its
 agreement with its own code. The inner product with a rotated query is then
 estimated from the packed bits as ``norm * <code, query> / agreement``, and the
 error of the estimate is at most ``norm * |query| * eps * sqrt((1 - agreement^2)
-/ agreement^2) / sqrt(d - 1)`` but for a chance that ``eps`` sets. A vector is
-read again only if its upper bound reaches the k-th highest lower bound, and is
-then scored exactly, in double precision.
-
-The query set goes against all rows in blocks: vectors are dealt to blocks by
-hash of their id, queries to blocks likewise, and each pair of blocks is one
-task's group of bounded size, which gives at most k rows per query. A ranking
-window, cut to k rows before and after its shuffle, merges them. More rows are
-more blocks, never larger ones.
+/ agreement^2) / sqrt(d - 1)`` but for a chance that ``eps`` sets. The SEEDS * k best
+estimates are scored exactly, and the k-th best of them is a floor under the k-th
+best score; a vector is read again only if its upper bound reaches that floor, and
+is then scored exactly, in double precision.
+
+The query set goes against all rows in blocks: vectors are dealt to blocks in
+turn, queries to sets by hash of their id, and each meeting of a block with a set
+is one task's group of bounded size, which gives at most k rows per query. A
+ranking window, cut to k rows before and after its shuffle, merges them. More rows
+are more blocks, never larger ones.
+
+A vector travels once for each set of queries, in the precision it is stored in;
+its code is worked out where it arrives. Codes alone do not travel in its place:
+the vectors at hand do not cluster, bounds of one bit a dimension leave a good
+part of all pairs to be scored exactly (README has the figures), and a join by id
+would then ship more than the vectors.
 
 Defined results: vectors that are null, zero, of another length than ``dims``
 or hold null or non-finite components take no part, neither as queries nor as
@@ -25,7 +32,6 @@ columns are passed over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import bounded_batches, table
+from tabulon.llm.shared import table
 
-#: Rows of a block of vectors, and of queries, about.
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Rows of a block of vectors, and of a set of queries, about. Blocks are smaller,
+#: down to LEAST_VECTORS, where they are fewer than two for each core.
+BLOCK_VECTORS, LEAST_VECTORS, BLOCK_QUERIES = 32_768, 4_096, 16_384
 #: Bound in standard errors of the estimate.
-EPS = 2.4
+EPS = 3.5
+#: Times k, how many of the best estimates give the floor.
+SEEDS = 12
 SEED = 20260101
 
 
@@ -86,25 +95,25 @@ def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.add.accumulate(vectors * query, axis=1)[:, -1]
 
 
-def block_best(vid: np.ndarray, vectors: np.ndarray, packed: np.ndarray, norms: np.ndarray, agreement: np.ndarray, qid: np.ndarray, queries: np.ndarray, k: int, eps: float, step: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def block_best(vid: np.ndarray, vectors: np.ndarray, qid: np.ndarray, queries: np.ndarray, k: int, eps: float, step: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, vector ids, exact scores) of each query's k best of a block."""
     turn = rotation(vectors.shape[1])
+    packed, norms, agreement = codes(vectors, turn)
     out = []
     for at in range(0, len(qid), step):
-        q = queries[at : at + step]
-        guess, error = estimates(packed, norms, agreement, q, turn, eps)
-        own = vid[None, :] == qid[at : at + step, None]
-        low, high = np.where(own, -np.inf, guess - error), np.where(own, -np.inf, guess + error)
-        if low.shape[1] > k:
-            floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        else:
-            floor = np.full(len(q), -np.inf, np.float32)
-        for i in range(len(q)):
-            picked = np.flatnonzero((high[i] >= floor[i]) & ~own[i])
-            rough = vectors[picked] @ q[i]
+        guess, error = estimates(packed, norms, agreement, queries[at : at + step], turn, eps)
+        guess[vid[None, :] == qid[at : at + step, None]] = -np.inf
+        for i in range(len(guess)):
+            q, high = queries[at + i], guess[i] + error[i]
+            picked = np.flatnonzero(np.isfinite(guess[i]))
+            if len(picked) > SEEDS * k:
+                best = np.argpartition(-guess[i], SEEDS * k)[: SEEDS * k]
+                floor = np.partition(vectors[best] @ q, -k)[-k]
+                picked = np.union1d(np.flatnonzero(high >= floor - 1e-6 * (1 + abs(floor))), best)
+            rough = vectors[picked] @ q
             if len(picked) > k:  # all that rounding could put among the k
                 picked = picked[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (1 + np.abs(rough).max())]
-            scores = exact_products(vectors[picked], q[i])
+            scores = exact_products(vectors[picked], q)
             order = np.lexsort((vid[picked], -scores))[:k]
             picked, scores = picked[order], scores[order]
             out.append((np.full(len(picked), qid[at + i]), vid[picked], scores))
@@ -122,34 +131,23 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, dims: int, eps: float =
     """query_id, rank, vec_id, score: each query's k nearest rows by inner
     product. rows and queries have vec_id and embedding."""
     spark = rows.sparkSession
-    bounded_batches(spark)
+    kind = dict(rows.dtypes)["embedding"]
     rows = usable(rows.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), "embedding", dims)
-    queries = usable(queries.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding"), "embedding", dims)
+    queries = usable(queries.where(F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast(kind).alias("embedding")), "embedding", dims)
     n, m = rows.count(), queries.count()
-    blocks, sets = max(1, -(-n // BLOCK_VECTORS)), max(1, -(-m // BLOCK_QUERIES))
-
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                packed, norms, agreement = codes(x, rotation(dims))
-                yield pd.DataFrame({"side": 1, "vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "code": [c.tobytes() for c in packed], "norm": norms, "agreement": agreement})
-
-    kind = "side int, vec_id long, embedding array<double>, code binary, norm double, agreement double"
-    index = rows.mapInPandas(coded, kind)
+    cores = spark.sparkContext.defaultParallelism
+    blocks, sets = max(1, -(-n // BLOCK_VECTORS), min(-(-n // LEAST_VECTORS), 2 * cores)), max(1, -(-m // BLOCK_QUERIES))
     # each vector meets every set of queries, each query every block: one row per meeting
-    left = index.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
-    none = {"code": "binary", "norm": "double", "agreement": "double"}
-    right = queries.select(F.lit(0).alias("side"), "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int").alias("set"))
+    left = rows.select(F.lit(True).alias("is_row"), "vec_id", "embedding", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("set"))
+    right = queries.select(F.lit(False).alias("is_row"), "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int").alias("set"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, q = pdf[pdf["side"] == 1], pdf[pdf["side"] == 0]
-        none_ = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        side = pdf["is_row"].to_numpy()
+        v, q = pdf[side], pdf[~side]
         if v.empty or q.empty:
-            return none_
-        vectors = np.stack(v["embedding"].to_numpy()).astype(np.float64)
-        packed = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
-        found = block_best(v["vec_id"].to_numpy(), vectors, packed, v["norm"].to_numpy(), v["agreement"].to_numpy(), q["vec_id"].to_numpy(), np.stack(q["embedding"].to_numpy()).astype(np.float64), k, eps)
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        stacked = lambda df: np.stack(df["embedding"].to_numpy()).astype(np.float64)
+        found = block_best(v["vec_id"].to_numpy(), stacked(v), q["vec_id"].to_numpy(), stacked(q), k, eps)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     met = left.unionByName(right).groupBy("block", "set").applyInPandas(meet, "query_id long, vec_id long, score double")

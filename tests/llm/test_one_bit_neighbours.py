@@ -44,6 +44,7 @@ def test_query_equals_its_oracle(spark, sf_dir):
 
 def test_blocks_ties_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(o, "BLOCK_VECTORS", 7)
+    monkeypatch.setattr(o, "LEAST_VECTORS", 7)
     monkeypatch.setattr(o, "BLOCK_QUERIES", 3)
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(5).tolist()) for i in range(40)] + [(100 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(6)]
@@ -57,3 +58,19 @@ def test_blocks_ties_and_odd_rows(spark, monkeypatch):
     few = df.where("vec_id < 3")
     assert o.nearest(few, few, 20, 5).groupBy("query_id").count().collect()[0][1] == 2
     assert o.nearest(df.limit(0), df.limit(0), 5, 5).collect() == []
+
+
+def test_a_block_is_pruned_by_its_bounds():
+    """Clustered vectors: bounds leave few to read again, and none of the best is lost."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 128)) * 2
+    x = centres[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 128)) * 0.3
+    ids = np.arange(len(x))
+    read = []
+    with __import__("pytest").MonkeyPatch.context() as p:
+        union = np.union1d
+        p.setattr(o.np, "union1d", lambda a, b: read.append(len(a)) or union(a, b))
+        found = o.block_best(ids, x, ids[:50], x[:50], 10, o.EPS)
+    want = [np.lexsort((ids, -np.where(ids == i, -np.inf, x @ x[i])))[:10] for i in range(50)]
+    assert sum(len(set(w) & set(v)) for w, (_, v, _) in zip(want, found, strict=True)) >= 499
+    assert np.mean(read) < 0.1 * len(x)
