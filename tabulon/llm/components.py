@@ -4,7 +4,10 @@ Each round every node points its larger neighbours at its smallest one, then
 itself and its smaller ones likewise, until only stars are left; the number of
 rounds grows with the logarithm of the longest path. Edges stay in tables
 written to the shared folder; nothing is gathered on the driver but a count and
-a checksum for each round.
+a checksum for each round. A step's least neighbours are written before they are
+joined back, so that both sides of the join come from plain exchanges and the rows
+of a hub, which has neighbours without bound, can be split over tasks (adaptive
+skew join).
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = sym.where("v > u").join(_toward_least(sym), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = sym.where("v > u").join(written(_toward_least(sym), "least"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -14,12 +14,18 @@ tokens (the smaller l of the two) before it is verified.
    ones or more is full; a hot token of full classes is tied by a star, not by
    pairs, to all its classes with as many hot ones as the least l of the full.
 3. Pairs with enough shared tokens, and stars, make families (connected
-   components). A family is dealt over chunks of bounded size, and every pair of
-   chunks is compared exactly, on whole sets. What leaves a comparison is each
-   class's root among those linked with it and its number of links, never the
-   pairs.
+   components). A family is dealt over chunks of bounded size, which are compared
+   exactly, on whole sets. What leaves a comparison is each class's root among
+   those linked with it and its number of links, never the pairs.
 4. Components over chunks give the result.
 
+To count links, every pair of a family's chunks is compared. Components alone
+(``links=False``) need less: chunks are compared each in itself, then with a few
+pivots, the roots of the family's largest parts; what is then still apart from the
+family's main part, and only that, is compared with everything. Classes that are
+in one component already are not compared again, so a family of copies of one text
+costs its size, not its square.
+
 Nothing is capped: a hot token or a large family changes the way, not the result.
 
 Defined results: null or empty text, and text without a word, has an empty set,
@@ -38,7 +44,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
@@ -50,6 +56,8 @@ HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
 SKETCH_BITS, SLICE_BITS = 24, 18
 #: Shingles and classes of a chunk of a family, about.
 CHUNK_SHINGLES, CHUNK_SETS = 250_000, 800
+#: Classes of a family that all others are compared with first.
+PIVOTS = 8
 #: Family members are sent to the readers of texts up to this many; beyond, joined.
 SENT_MEMBERS = 400_000
 
@@ -230,7 +238,8 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sid, check (two independent hashes of the set), level, prefix."""
+    """doc_id, text_id (a hash of the text), n, sid, check (two independent hashes of
+    the set), level, prefix."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(logs)
     usual = 2.0 * float(np.mean(2.0 ** logs.astype(np.float64))) + 2.0
@@ -246,9 +255,10 @@ def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> Dat
                 rows.append((len(u), int(signed(sid)[0]), int(signed(check)[0]), level, signed(np.ascontiguousarray(prefix))))
             out = pd.DataFrame(rows, columns=["n", "sid", "check", "level", "prefix"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            out.insert(1, "text_id", pdf["text_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(told, "doc_id long, n int, sid long, check long, level int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(told, "doc_id long, text_id long, n int, sid long, check long, level int, prefix array<long>")
 
 
 def meetings(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -368,23 +378,54 @@ def compared(batches: Iterable[pd.DataFrame], size: int, percent: int) -> Iterat
         yield done()
 
 
-def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for docs (doc_id, text): the
-    connected components of documents whose shingle sets have a Jaccard
-    similarity of ``percent`` hundredths or more."""
+def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, with ``links``, n_links for docs
+    (doc_id, text): the connected components of documents whose shingle sets have a
+    Jaccard similarity of ``percent`` hundredths or more."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sets = written(set_table(docs, sketch(docs, size), size, percent), "sets")
     classes = written(
-        sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix"), F.min("check").alias("check"), F.max("check").alias("_check")),
+        sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_id", F.struct("doc_id", "text_id")).alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix"), F.min("check").alias("check"), F.max("check").alias("_check")),
         "classes",
     )
     if not classes.where(F.col("check") != F.col("_check")).isEmpty():
         raise RuntimeError("two different sets share a 64-bit hash: change the seed")
+    family = written(components(candidates(classes, percent)), "families")
+    members = family.join(classes.select(F.col("sid").alias("node"), "doc_id", "text_id", "copies", "n"), "node").select(F.col("node").alias("sid"), F.col("root").alias("family"), "doc_id", "text_id", "copies", "n")
+    members = written(dealt(members, "chunks", "chunk"), "members")
+    # of a row that is there several times one is taken; narrow rows tell whether there are any
+    repeated = not sets.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty()
+    meetings_of = Meetings(docs, size, percent, repeated)
+    if links:
+        told = meetings_of.pairs(members, "chunk", "chunks")
+        several = told.where("chunks > 1 and sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+    else:
+        told = meetings_of.alone(members)
+        several = apart(told, members, meetings_of)
+    one = told.where("chunks = 1").select(F.col("sid").alias("node"), "root").distinct()
+    roots = one.unionByName(components(several)) if not several.isEmpty() else one
+    named = roots.join(classes.select(F.col("sid").alias("node"), "doc_id"), "node")
+    least = written(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    placed = named.join(least, "root").select("node", "component_id")
+    by_class = classes.select(F.col("sid").alias("node"), "copies", "doc_id").join(placed, "node", "left")
+    counted = told.groupBy(F.col("sid").alias("node")).agg(F.sum("links").alias("links"))
+    by_class = by_class.join(counted, "node", "left").select(F.col("node").alias("sid"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_copies"))
+    out = join_counted(sets.select("doc_id", "sid", "n"), written(by_class, "by-class"), "sid", "_copies", "doc_id")
+    empty = F.col("n") == 0
+    own = [F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if links else []
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own)
+
+
+def shuffle_parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b among classes such that every linked pair is in one component."""
     postings = classes.select("sid", "n", "level", F.explode("prefix").alias("token"))
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = postings.repartition(spread, "token").sortWithinPartitions("token").select("token", "sid", "n", "level").mapInPandas(lambda it: meetings(it, percent), "a long, b long, level int")
+    met = postings.repartition(shuffle_parts(classes.sparkSession), "token").sortWithinPartitions("token").select("token", "sid", "n", "level").mapInPandas(lambda it: meetings(it, percent), "a long, b long, level int")
     met = written(met, "meetings")
     hot = met.where("level = 0").select(F.col("a").alias("sid"), F.col("b").alias("token"))
     heat = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("heat"))
@@ -392,35 +433,102 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     for side in ("a", "b"):
         pairs = pairs.join(heat.select(F.col("sid").alias(side), F.col("heat").alias(f"heat_{side}")), side, "left")
     least_heat = F.least(F.coalesce("heat_a", F.lit(0)), F.coalesce("heat_b", F.lit(0)))
-    candidates = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("level") - least_heat)).select("a", "b")
+    found = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("level") - least_heat)).select("a", "b")
     # who shares only hot tokens shares the smaller level of them, so one of the two is full
-    warm = hot.join(heat, "sid").join(classes.select("sid", "level"), "sid")
-    asked = warm.where("heat >= level").groupBy("token").agg(F.min("level").alias("asked"))
-    held = warm.join(asked, "token").where("heat >= asked").select("sid", "token")
-    stars = held.join(held.groupBy("token").agg(F.min("sid").alias("hub")), "token").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
-    family = written(components(candidates.unionByName(stars)), "families")
-    members = family.join(classes.select(F.col("sid").alias("node"), "doc_id", "copies", "n"), "node").select(F.col("node").alias("sid"), F.col("root").alias("family"), "doc_id", "copies", "n")
-    widths = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_SETS))).cast("int").alias("chunks"))
-    members = written(members.join(widths, "family").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")), "members")
-    few = members.count() <= SENT_MEMBERS
-    texts = docs.join(F.broadcast(members) if few else members, "doc_id")
-    meeting = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "sid", "chunk", "chunks", "copies", "text")
-    told = written(meeting.repartition(spread, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(lambda it: compared(it, size, percent), "sid long, root long, links long, chunks int"), "compared")
-    one = told.where("chunks = 1").select(F.col("sid").alias("node"), "root").distinct()
-    several = told.where("chunks > 1 and sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
-    roots = one.unionByName(components(several)) if not several.isEmpty() else one
-    named = roots.join(classes.select(F.col("sid").alias("node"), "doc_id"), "node")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    placed = named.join(least, "root").select("node", "component_id")
-    links = told.groupBy(F.col("sid").alias("node")).agg(F.sum("links").alias("links"))
-    by_class = classes.select(F.col("sid").alias("node"), "copies", "doc_id").join(placed, "node", "left").join(links, "node", "left").select(F.col("node").alias("sid"), F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_copies"))
-    out = join_counted(sets.select("doc_id", "sid", "n"), written(by_class, "by-class"), "sid", "_copies", "doc_id")
-    empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    warm = written(hot.join(heat, "sid").join(classes.select("sid", "level"), "sid"), "warm")
+    # written, so that both sides of the joins by token are plain exchanges and a hot one can be split
+    asked = written(warm.where("heat >= level").groupBy("token").agg(F.min("level").alias("asked")), "asked")
+    held = written(warm.join(asked, "token").where("heat >= asked").select("sid", "token"), "held")
+    hubs = written(held.groupBy("token").agg(F.min("sid").alias("hub")), "hubs")
+    stars = held.join(hubs, "token").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    return found.unionByName(stars)
+
+
+def dealt(members: DataFrame, chunks: str, chunk: str) -> DataFrame:
+    """members with the number of chunks of their family, and their own."""
+    widths = written(members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_SETS))).cast("int").alias(chunks)), "widths")
+    return members.join(widths, "family").withColumn(chunk, F.pmod(F.xxhash64("sid"), F.col(chunks)).cast("int"))
+
+
+class Meetings:
+    """Comparisons of members' texts, group by group (family, i, j)."""
+
+    def __init__(self, docs: DataFrame, size: int, percent: int, repeated: bool) -> None:
+        self.docs = docs.withColumn("text_id", F.xxhash64("text"))
+        self.size, self.percent, self.repeated = size, percent, repeated
+
+    def texts(self, members: DataFrame) -> DataFrame:
+        """members are sent to the readers of texts, or else joined."""
+        few = members.limit(SENT_MEMBERS + 1).count() <= SENT_MEMBERS
+        found = self.docs.join(F.broadcast(members) if few else members, ["doc_id", "text_id"])
+        return found.dropDuplicates(["sid"]) if self.repeated else found
+
+    def compared(self, rows: DataFrame) -> DataFrame:
+        size, percent = self.size, self.percent
+        dealt_ = rows.select("family", "i", "j", "sid", "chunk", "chunks", "copies", "text").repartition(shuffle_parts(rows.sparkSession), "family", "i", "j")
+        return written(dealt_.sortWithinPartitions("family", "i", "j").mapInPandas(lambda it: compared(it, size, percent), "sid long, root long, links long, chunks int"), "compared")
+
+    def pairs(self, members: DataFrame, chunk: str, chunks: str) -> DataFrame:
+        """Every chunk with every chunk of its family."""
+        return self.compared(_paired(self.texts(members), chunk, chunks))
+
+    def alone(self, members: DataFrame) -> DataFrame:
+        """Every chunk in itself."""
+        return self.compared(self.texts(members).withColumn("i", F.col("chunk")).withColumn("j", F.col("chunk")))
+
+
+def _paired(texts: DataFrame, chunk: str, chunks: str) -> DataFrame:
+    other = texts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(chunks) - 1)))
+    return other.withColumn("i", F.least(chunk, "_other")).withColumn("j", F.greatest(chunk, "_other"))
+
+
+def _edges(told: DataFrame) -> DataFrame:
+    return told.where("chunks > 1 and sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))
+
+
+#: Chunks of a family's main part are numbered from here where they meet the rest.
+MAIN = 1 << 30
+
+
+def apart(told: DataFrame, members: DataFrame, meet: Meetings) -> DataFrame:
+    """Links of families of several chunks, enough for their components: within
+    chunks (``told``), with pivots, and of all that is then apart from the family's
+    main part with everything."""
+    links = _edges(told)
+    wide = members.where("chunks > 1")
+    if wide.isEmpty():
+        return links
+    parts = told.where("chunks > 1").join(wide.select("sid", "family"), "sid").groupBy("family", "root").agg(F.count(F.lit(1)).alias("_size"))
+    number = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("_size"), "root"))
+    pivots = parts.withColumn("_no", number).where(F.col("_no") <= PIVOTS).select(F.col("root").alias("sid"))
+    pivots = written(wide.join(pivots, "sid"), "pivots")
+    theirs = meet.texts(pivots).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", F.lit(-1))
+    own = meet.texts(wide).withColumn("i", F.col("chunk"))
+    links = links.unionByName(_edges(meet.compared(own.unionByName(theirs.select(own.columns)).withColumn("j", F.lit(-1)))))
+    whole = written(components(links), "parts").withColumnsRenamed({"node": "sid", "root": "_part"})
+    placed = written(wide.join(whole, "sid", "left").withColumn("_part", F.coalesce("_part", "sid")), "placed")
+    largest = placed.groupBy("family", "_part").agg(F.count(F.lit(1)).alias("_size")).groupBy("family").agg(F.max_by("_part", F.struct("_size", "_part")).alias("_main"))
+    placed = placed.join(written(largest, "largest"), "family")
+    rest = placed.where("_part <> _main").drop("_part", "_main")
+    if rest.isEmpty():
+        return links
+    rest = written(dealt(rest.drop("chunks", "chunk"), "_parts", "_own").join(widths_of(wide), "family"), "rest")
+    main = placed.where("_part = _main").join(written(rest.select("family", "_parts").distinct(), "rest-parts"), "family")
+    columns = ["family", "i", "j", "sid", "chunk", "chunks", "copies", "text"]
+    ours = meet.texts(rest).withColumn("chunk", F.col("_own"))
+    among = _paired(ours, "_own", "_parts").select(columns)
+    against = ours.withColumn("i", F.col("_own")).withColumn("j", F.explode(F.sequence(F.lit(MAIN), F.col("chunks") + F.lit(MAIN - 1)))).select(columns)
+    others = meet.texts(main).withColumn("j", F.col("chunk") + F.lit(MAIN)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("chunk", F.col("j")).select(columns)
+    return links.unionByName(_edges(meet.compared(among.unionByName(against).unionByName(others))))
+
+
+def widths_of(members: DataFrame) -> DataFrame:
+    return members.select("family", "chunks").distinct()
 
 
 def op5_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents at 0.9 on three-word shingles."""
+    """Components of all documents at 0.9 on three-word shingles, and, as this is a
+    join, each document's number of links."""
     return similar_components(table(spark, sf_dir, "documents"), 3, 90)
 
 

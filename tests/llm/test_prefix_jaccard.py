@@ -41,7 +41,11 @@ def brute(rows, size, percent):
 def compare(spark, rows, size, percent):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS sid", "3 AS family")
     got = sorted(tuple(r) for r in p.similar_components(df, size, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect())
-    assert got == brute(rows, size, percent)
+    want = brute(rows, size, percent)
+    assert got == want
+    alone = p.similar_components(df, size, percent, links=False)
+    assert alone.columns == ["doc_id", "n_shingles", "component_id"]
+    assert sorted(tuple(r) for r in alone.collect()) == [w[:3] for w in want]
 
 
 def family(rng, base, count, most, start):
@@ -84,6 +88,69 @@ def test_hot_tokens_of_unlike_levels(spark, size, percent, tail):
     compare(spark, rows, size, percent)
 
 
+def varied(rng, count, start):
+    """Families of a text by replacement, addition, deletion, containment and all of them."""
+    rows = []
+    for f in range(count):
+        base = [f"f{f}_{i}" for i in range(rng.randint(30, 160))]
+        kind, fixed = f % 6, rng.randint(1, 30)
+        for i in range(rng.randint(3, 9)):
+            w, own = list(base), [f"x{f}_{i}_{j}" for j in range(200)]
+            if kind in (0, 5):
+                for _ in range(rng.randint(0, 6)):
+                    w[rng.randrange(len(w))] = own.pop()
+            if kind in (1, 5):
+                w += own[: rng.randint(0, 30)]
+            if kind == 2:
+                w += own[:fixed]
+            if kind in (3, 5):
+                at = rng.randrange(len(w) - 10)
+                del w[at : at + rng.randint(0, 9)]
+            if kind == 4:
+                w = w[: rng.randint(len(w) * 3 // 4, len(w))]
+            rows.append((start + len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("hot", "size", "percent"), [(2, 3, 90), (24, 3, 90), (2, 5, 80)])
+def test_families_of_all_kinds(spark, monkeypatch, hot, size, percent):
+    monkeypatch.setattr(p, "HOT", hot)
+    monkeypatch.setattr(p, "CHUNK_SETS", 4)
+    monkeypatch.setattr(p, "PIVOTS", 2)
+    compare(spark, varied(random.Random(hot * size), 110, 0), size, percent)
+
+
+@pytest.mark.parametrize(("size", "percent", "base", "tail"), [(3, 90, 102, 10), (5, 80, 104, 22)])
+def test_forty_copies_with_a_tail_of_equal_length(spark, size, percent, base, tail):
+    words = [f"b{i}" for i in range(base)]
+    rows = [(0, " ".join(words))] + [(1 + i, " ".join([*words, *(f"t{i}_{j}" for j in range(tail))])) for i in range(40)]
+    assert brute(rows, size, percent)[0][3] == 40
+    compare(spark, rows, size, percent)
+
+
+def test_a_family_of_many_classes(spark, monkeypatch):
+    """10,000 different copies of one text: their components cost no square."""
+    monkeypatch.setattr(p, "CHUNK_SETS", 500)
+    words = [f"b{i}" for i in range(80)]
+    rows = [(i, " ".join([*words, f"t{i}"])) for i in range(10_000)] + [(20_000 + i, " ".join([*words[:40], *(f"u{i}_{j}" for j in range(40))])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = []
+    plain = p.Meetings.compared
+    monkeypatch.setattr(p.Meetings, "compared", lambda self, rows: met.append(rows.count()) or plain(self, rows))
+    got = {r["doc_id"]: r["component_id"] for r in p.similar_components(df, 5, 80, links=False).collect()}
+    assert got == {i: 0 if i < 20_000 else i for i, _ in rows}
+    assert sum(met) < 45_000
+
+
+def test_repeated_ids(spark):
+    """One id with several texts, and rows that are there several times."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, a), (1, b), (1, b + " end"), (2, a + " end"), (3, b), (3, b), (4, a + " stop")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in p.similar_components(df, 3, 90).collect())
+    assert got == sorted([(1, 58, 1, 4)] * 3 + [(2, 59, 1, 4), (4, 59, 1, 4)] + [(1, 58, 1, 3), (1, 59, 1, 3), (3, 58, 1, 3), (3, 58, 1, 3)])
+
+
 def test_empty_chunk_counts_no_pair_again():
     """Both classes of a family in chunk 0 of two: they meet with each other in
     (0, 0), and with nobody in (0, 1)."""
