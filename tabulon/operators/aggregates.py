@@ -163,6 +163,34 @@ def summary(frame: DataFrame, columns: dict[str, DataType], small: int = SMALL)
     return frame.agg(*told).withColumns({f"{c}_median": F.lit(v).cast("double") for c, v in found.items()})
 
 
+def run_between(values, least: int, most: int, low: int, high: int) -> tuple[int, int, int]:
+    """The sum of a run of values, and where it leaves two sums that it began at
+    ``least`` and ``most``, each held between low and high at every step. Runs that
+    touch one end alone are reckoned by running minima, others step by step."""
+    import numpy as np
+
+    exact = [int(v) for v in values]
+    total = sum(exact)
+
+    def above(start: int, sums) -> int | None:
+        """Where a sum goes that is held at 0 from below and may not pass the width."""
+        if start + min(0, int(sums.min())) >= 0:
+            return start + int(sums[-1]) if start + int(sums.max()) <= high - low else None
+        path = sums + start
+        path = path - np.minimum.accumulate(np.minimum(path, 0))
+        return int(path[-1]) if int(path.max()) <= high - low else None
+
+    up = down = None
+    if sum(map(abs, exact)) < 1 << 62:
+        sums = np.cumsum(np.array(exact, np.int64))
+        up, down = above(least - low, sums), above(high - most, -sums)
+    if up is None or down is None:
+        for v in exact:
+            least, most = max(low, min(high, least + v)), max(low, min(high, most + v))
+        return total, least, most
+    return total, low + up, high - down
+
+
 def fold_saturating(frame: DataFrame, c: str, kind: DataType, start: int = 0, order: str = "_pos") -> int:
     """start plus each value in turn, held within the type at every step.
 
@@ -180,14 +208,12 @@ def fold_saturating(frame: DataFrame, c: str, kind: DataType, start: int = 0, or
     def reduce_part(batches):
         import pandas as pd
 
-        shift, least, most, first = 0, None, None, None
+        shift, least, most, first = 0, low, high, None
         for pdf in batches:
-            for o, v in zip(pdf["o"], pdf["v"], strict=True):
-                v = int(v)
-                first = o if first is None else first
-                shift += v
-                least = max(low, min(high, (low if least is None else least) + v))
-                most = max(low, min(high, (high if most is None else most) + v))
+            if len(pdf):
+                first = int(pdf["o"].iloc[0]) if first is None else first
+                moved, least, most = run_between(pdf["v"].to_numpy(), least, most, low, high)
+                shift += moved
         if first is not None:
             yield pd.DataFrame({"first": [first], "shift": [str(shift)], "least": [str(least)], "most": [str(most)]})
 

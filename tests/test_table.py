@@ -265,3 +265,22 @@ def test_appends_count_no_row_again(spark):
     assert "row_count" in t.__dict__ and t.row_count == 9 and new == range(7, 9)
     assert t.set_cell(8, 0, 6).__dict__["row_count"] == 9 and t.pop_row()[0].row_count == 8
     assert sorted(listed(t.frame.select(POS))) == list(range(9))
+
+
+def test_saturating_runs_equal_steps():
+    from tabulon.operators.aggregates import run_between
+
+    rng = random.Random(3)
+    for low, high in ((-128, 127), (0, 255), (-(2**63), 2**63 - 1), (0, 2**64 - 1)):
+        for size in (1, 5, 60):
+            for scale in (3, 90, (high - low) // 3):
+                values = [rng.randint(-scale, scale) for _ in range(size)]
+                least, most = low, high
+                got = low, high
+                for at in range(0, size, 7):
+                    part = values[at : at + 7]
+                    moved, *got = run_between(part, *got, low, high)
+                    assert moved == sum(part)
+                for v in values:
+                    least, most = max(low, min(high, least + v)), max(low, min(high, most + v))
+                assert tuple(got) == (least, most)
