@@ -48,6 +48,8 @@ BLOCK_VECTORS, LEAST_VECTORS, BLOCK_QUERIES = 32_768, 4_096, 16_384
 EPS = 3.5
 #: Times k, how many of the best estimates give the floor.
 SEEDS = 12
+#: Share of a block that survives its bounds from which products are one matrix.
+MANY = 0.05
 SEED = 20260101
 
 
@@ -95,28 +97,43 @@ def exact_products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.add.accumulate(vectors * query, axis=1)[:, -1]
 
 
+def survivors(high: np.ndarray, floor: float, best: np.ndarray) -> np.ndarray:
+    """Places whose upper bound reaches the floor, and those of the best estimates."""
+    read = high >= floor - 1e-6 * (1 + abs(floor))
+    read[best] = True
+    return np.flatnonzero(read)
+
+
 def block_best(vid: np.ndarray, vectors: np.ndarray, qid: np.ndarray, queries: np.ndarray, k: int, eps: float, step: int = 64) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, vector ids, exact scores) of each query's k best of a block."""
+    """(query ids, vector ids, exact scores) of each query's k best of a block. Where
+    many survive, their products are one matrix product for a step's queries."""
     turn = rotation(vectors.shape[1])
     packed, norms, agreement = codes(vectors, turn)
-    out = []
+    out, share = [], 0.0
     for at in range(0, len(qid), step):
-        guess, error = estimates(packed, norms, agreement, queries[at : at + step], turn, eps)
+        few = queries[at : at + step]
+        guess, error = estimates(packed, norms, agreement, few, turn, eps)
         guess[vid[None, :] == qid[at : at + step, None]] = -np.inf
+        products = few @ vectors.T if share > MANY else None
+        read = 0
         for i in range(len(guess)):
-            q, high = queries[at + i], guess[i] + error[i]
-            picked = np.flatnonzero(np.isfinite(guess[i]))
-            if len(picked) > SEEDS * k:
+            q, high = few[i], guess[i] + error[i]
+            dots = (lambda x: products[i][x]) if products is not None else (lambda x: vectors[x] @ q)  # noqa: B023
+            others = np.isfinite(guess[i])
+            if others.sum() > SEEDS * k:
                 best = np.argpartition(-guess[i], SEEDS * k)[: SEEDS * k]
-                floor = np.partition(vectors[best] @ q, -k)[-k]
-                picked = np.union1d(np.flatnonzero(high >= floor - 1e-6 * (1 + abs(floor))), best)
-            rough = vectors[picked] @ q
+                picked = survivors(high, np.partition(dots(best), -k)[-k], best)
+            else:
+                picked = np.flatnonzero(others)
+            read += len(picked)
+            rough = dots(picked)
             if len(picked) > k:  # all that rounding could put among the k
                 picked = picked[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (1 + np.abs(rough).max())]
             scores = exact_products(vectors[picked], q)
             order = np.lexsort((vid[picked], -scores))[:k]
             picked, scores = picked[order], scores[order]
             out.append((np.full(len(picked), qid[at + i]), vid[picked], scores))
+        share = read / max(1, guess.size)
     return out
 
 
