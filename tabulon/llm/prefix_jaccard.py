@@ -9,7 +9,9 @@ tokens (the smaller l of the two) before it is verified.
 
 1. Texts become sets of shingle hashes; equal sets are one class from here on.
 2. Prefix tokens meet by token. Up to ``HOT`` classes of one token give pairs,
-   summed by pair. More give no pairs: the token is hot. With h hot tokens in
+   summed by pair. More give no pairs: the token is hot. Tokens that the sketch
+   says are in very many texts are counted first, so a hot one's classes, be they
+   a third of all, never come to one task. With h hot tokens in
    its prefix a pair must still share l - h others. A class with its own l hot
    ones or more is full; a hot token of full classes is tied by a star, not by
    pairs, to all its classes with as many hot ones as the least l of the full.
@@ -47,17 +49,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.components import components
+from tabulon.llm.components import FEW_FILES, components
 from tabulon.llm.shared import bounded_batches, join_counted, table, written
 
 #: Classes of one token that still give pairs; candidates of l worth trying.
 HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
 #: The sketch: counters, each one byte on the workers (16 MB, whatever the input).
 SKETCH_BITS, SLICE_BITS = 24, 18
+#: log2 of the count from which a token is counted before it is dealt: the sketch
+#: bounds the classes of every other one, so no task gets more than 2**(OFTEN + 1)
+#: rows of one token.
+OFTEN = 10
 #: Shingles and classes of a chunk of a family, about.
 CHUNK_SHINGLES, CHUNK_SETS = 250_000, 800
+#: Classes of a chunk where components alone are asked for: small chunks cost nothing
+#: there, for no two are compared with each other unless they are apart.
+ALONE_SETS = 240
 #: Classes of a family that all others are compared with first.
 PIVOTS = 8
+#: Rows of hot tokens (16 bytes each) up to which their keys are broadcast.
+SENT_HOT = 200_000
 #: Family members are sent to the readers of texts up to this many; beyond, joined.
 SENT_MEMBERS = 400_000
 
@@ -210,11 +221,12 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def choose_prefix(u: np.ndarray, logs: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the order of rarity, and its l."""
+def choose_prefix(u: np.ndarray, logs: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The prefix of a set in the order of rarity, its l, and which of its tokens
+    may be in very many sets."""
     n = len(u)
     if n == 0:
-        return u, 1
+        return u, 1, np.zeros(0, bool)
     rarity = logs[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.argsort(rarity, kind="stable")
     base = n - int(least_shared(n, percent))
@@ -230,7 +242,8 @@ def choose_prefix(u: np.ndarray, logs: np.ndarray, usual: float, percent: int) -
         price = running[length - 1] * (1 + 8 / level) + length
         if price < best:
             best, pick = price, level
-    return u[order[: base + pick]], pick
+    picked = order[: base + pick]
+    return u[picked], pick, rarity[picked] > OFTEN
 
 
 def signed(a: np.ndarray) -> np.ndarray:
@@ -239,7 +252,7 @@ def signed(a: np.ndarray) -> np.ndarray:
 
 def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> DataFrame:
     """doc_id, text_id (a hash of the text), n, sid, check (two independent hashes of
-    the set), level, prefix."""
+    the set), level, prefix, often."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(logs)
     usual = 2.0 * float(np.mean(2.0 ** logs.astype(np.float64))) + 2.0
@@ -249,16 +262,16 @@ def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> Dat
             sets = shingle_sets([t if isinstance(t, str) else None for t in pdf["text"]], size)
             rows = []
             for u in sets:
-                prefix, level = choose_prefix(u, held.value, usual, percent)
+                prefix, level, often = choose_prefix(u, held.value, usual, percent)
                 m = mix(u ^ PLACE[40])
                 sid, check = mix(m.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(u))), mix(np.bitwise_xor.reduce(mix(u * PLACE[41]), keepdims=True) if len(u) else np.zeros(1, np.uint64))
-                rows.append((len(u), int(signed(sid)[0]), int(signed(check)[0]), level, signed(np.ascontiguousarray(prefix))))
-            out = pd.DataFrame(rows, columns=["n", "sid", "check", "level", "prefix"])
+                rows.append((len(u), int(signed(sid)[0]), int(signed(check)[0]), level, signed(np.ascontiguousarray(prefix)), often))
+            out = pd.DataFrame(rows, columns=["n", "sid", "check", "level", "prefix", "often"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             out.insert(1, "text_id", pdf["text_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(told, "doc_id long, text_id long, n int, sid long, check long, level int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(told, "doc_id long, text_id long, n int, sid long, check long, level int, prefix array<long>, often array<boolean>")
 
 
 def meetings(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -387,14 +400,14 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, links:
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sets = written(set_table(docs, sketch(docs, size), size, percent), "sets")
     classes = written(
-        sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_id", F.struct("doc_id", "text_id")).alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix"), F.min("check").alias("check"), F.max("check").alias("_check")),
+        sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_id", F.struct("doc_id", "text_id")).alias("text_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("level").alias("level"), F.first("prefix").alias("prefix"), F.first("often").alias("often"), F.min("check").alias("check"), F.max("check").alias("_check")),
         "classes",
     )
     if not classes.where(F.col("check") != F.col("_check")).isEmpty():
         raise RuntimeError("two different sets share a 64-bit hash: change the seed")
     family = written(components(candidates(classes, percent)), "families")
     members = family.join(classes.select(F.col("sid").alias("node"), "doc_id", "text_id", "copies", "n"), "node").select(F.col("node").alias("sid"), F.col("root").alias("family"), "doc_id", "text_id", "copies", "n")
-    members = written(dealt(members, "chunks", "chunk"), "members")
+    members = written(dealt(members, "chunks", "chunk", CHUNK_SETS if links else ALONE_SETS), "members")
     # of a row that is there several times one is taken; narrow rows tell whether there are any
     repeated = not sets.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty()
     meetings_of = Meetings(docs, size, percent, repeated)
@@ -424,29 +437,48 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Edges a, b among classes such that every linked pair is in one component."""
-    postings = classes.select("sid", "n", "level", F.explode("prefix").alias("token"))
-    met = postings.repartition(shuffle_parts(classes.sparkSession), "token").sortWithinPartitions("token").select("token", "sid", "n", "level").mapInPandas(lambda it: meetings(it, percent), "a long, b long, level int")
+    columns = ["token", "sid", "n", "level"]
+    postings = classes.select("sid", "n", "level", F.explode(F.arrays_zip("prefix", "often")).alias("p")).select(F.col("p.prefix").alias("token"), "sid", "n", "level", F.col("p.often").alias("often"))
+    meeting, more = postings.where("not often").select(columns), None
+    often = written(postings.where("often").select(columns), "often")
+    if not often.isEmpty():
+        counts = written(often.groupBy("token").agg(F.count(F.lit(1)).alias("held")), "often-counts")
+        counted = often.join(counts, "token")
+        meeting = meeting.unionByName(counted.where(F.col("held") <= HOT).select(columns))
+        more = counted.where(F.col("held") > HOT).select("sid", "token")
+    met = meeting.repartition(shuffle_parts(classes.sparkSession), "token").sortWithinPartitions("token").mapInPandas(lambda it: meetings(it, percent), "a long, b long, level int")
     met = written(met, "meetings")
     hot = met.where("level = 0").select(F.col("a").alias("sid"), F.col("b").alias("token"))
-    heat = hot.groupBy("sid").agg(F.count(F.lit(1)).alias("heat"))
+    hot = hot if more is None else written(hot.unionByName(more), "hot")
     pairs = met.where("level > 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("level").alias("level"))
+    warmth = hot.limit(SENT_HOT + 1).count()
+    if not warmth:
+        return pairs.where("shared >= greatest(1, level)").select("a", "b")
+    # of few hot rows (counted) keys are broadcast; of more they are written, so that both
+    # sides of the joins by token are plain exchanges and a hot one can be split
+    few = warmth <= SENT_HOT
+    kept = lambda df, name: written(df.coalesce(FEW_FILES) if few else df, name)
+    keys = lambda df, name: F.broadcast(kept(df, name)) if few else kept(df, name)
+    heat = kept(hot.groupBy("sid").agg(F.count(F.lit(1)).alias("heat")), "heat")
     for side in ("a", "b"):
-        pairs = pairs.join(heat.select(F.col("sid").alias(side), F.col("heat").alias(f"heat_{side}")), side, "left")
+        own = heat.select(F.col("sid").alias(side), F.col("heat").alias(f"heat_{side}"))
+        pairs = pairs.join(F.broadcast(own) if few else own, side, "left")
     least_heat = F.least(F.coalesce("heat_a", F.lit(0)), F.coalesce("heat_b", F.lit(0)))
     found = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.col("level") - least_heat)).select("a", "b")
     # who shares only hot tokens shares the smaller level of them, so one of the two is full
-    warm = written(hot.join(heat, "sid").join(classes.select("sid", "level"), "sid"), "warm")
-    # written, so that both sides of the joins by token are plain exchanges and a hot one can be split
-    asked = written(warm.where("heat >= level").groupBy("token").agg(F.min("level").alias("asked")), "asked")
-    held = written(warm.join(asked, "token").where("heat >= asked").select("sid", "token"), "held")
-    hubs = written(held.groupBy("token").agg(F.min("sid").alias("hub")), "hubs")
-    stars = held.join(hubs, "token").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    levels = heat.join(classes.select("sid", "level"), "sid")
+    warm = kept(hot.join(keys(levels, "levels"), "sid"), "warm")
+    asked = warm.where("heat >= level").groupBy("token").agg(F.min("level").alias("asked"))
+    held = kept(warm.join(keys(asked, "asked"), "token").where("heat >= asked").select("sid", "token"), "held")
+    hubs = held.groupBy("token").agg(F.min("sid").alias("hub"))
+    stars = held.join(keys(hubs, "hubs"), "token").select(F.col("sid").alias("a"), F.col("hub").alias("b"))
     return found.unionByName(stars)
 
 
-def dealt(members: DataFrame, chunks: str, chunk: str) -> DataFrame:
-    """members with the number of chunks of their family, and their own."""
-    widths = written(members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_SETS))).cast("int").alias(chunks)), "widths")
+def dealt(members: DataFrame, chunks: str, chunk: str, sets: int) -> DataFrame:
+    """members with the number of chunks of their family, of ``sets`` classes at
+    most or so, and their own."""
+    widths = written(members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(sets))).cast("int").alias(chunks)), "widths")
     return members.join(widths, "family").withColumn(chunk, F.pmod(F.xxhash64("sid"), F.col(chunks)).cast("int"))
 
 
@@ -512,7 +544,7 @@ def apart(told: DataFrame, members: DataFrame, meet: Meetings) -> DataFrame:
     rest = placed.where("_part <> _main").drop("_part", "_main")
     if rest.isEmpty():
         return links
-    rest = written(dealt(rest.drop("chunks", "chunk"), "_parts", "_own").join(widths_of(wide), "family"), "rest")
+    rest = written(dealt(rest.drop("chunks", "chunk"), "_parts", "_own", ALONE_SETS).join(widths_of(wide), "family"), "rest")
     main = placed.where("_part = _main").join(written(rest.select("family", "_parts").distinct(), "rest-parts"), "family")
     columns = ["family", "i", "j", "sid", "chunk", "chunks", "copies", "text"]
     ours = meet.texts(rest).withColumn("chunk", F.col("_own"))

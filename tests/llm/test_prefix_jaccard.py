@@ -38,11 +38,13 @@ def brute(rows, size, percent):
     return sorted((i, len(s), top(i), links[x]) for x, (i, s) in enumerate(sets))
 
 
-def compare(spark, rows, size, percent):
+def compare(spark, rows, size, percent, chunked=False):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS sid", "3 AS family")
     got = sorted(tuple(r) for r in p.similar_components(df, size, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect())
     want = brute(rows, size, percent)
     assert got == want
+    if not chunked:  # without families of several chunks both ways are one
+        return
     alone = p.similar_components(df, size, percent, links=False)
     assert alone.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted(tuple(r) for r in alone.collect()) == [w[:3] for w in want]
@@ -71,10 +73,11 @@ def test_equals_brute_force(spark, size, percent):
 def test_hot_family_over_chunks(spark, monkeypatch):
     """A family far over HOT, most of its pairs just under the threshold, in many chunks."""
     monkeypatch.setattr(p, "CHUNK_SETS", 40)
+    monkeypatch.setattr(p, "ALONE_SETS", 30)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(150)]
     rows = family(rng, base, 160, 9, 0) + [(5000 + i, " ".join(base)) for i in range(40)] + [(9000 + i, " ".join([*base[:60], *(f"u{i}_{j}" for j in range(30))])) for i in range(60)]
-    compare(spark, rows, 3, 90)
+    compare(spark, rows, 3, 90, chunked=True)
 
 
 @pytest.mark.parametrize(("size", "percent", "tail"), [(3, 90, 16), (5, 80, 36)])
@@ -112,12 +115,14 @@ def varied(rng, count, start):
     return rows
 
 
-@pytest.mark.parametrize(("hot", "size", "percent"), [(2, 3, 90), (24, 3, 90), (2, 5, 80)])
-def test_families_of_all_kinds(spark, monkeypatch, hot, size, percent):
+@pytest.mark.parametrize(("hot", "often", "size", "percent"), [(2, 10, 3, 90), (24, 0, 3, 90), (2, 1, 5, 80)])
+def test_families_of_all_kinds(spark, monkeypatch, hot, often, size, percent):
     monkeypatch.setattr(p, "HOT", hot)
+    monkeypatch.setattr(p, "OFTEN", often)
     monkeypatch.setattr(p, "CHUNK_SETS", 4)
+    monkeypatch.setattr(p, "ALONE_SETS", 3)
     monkeypatch.setattr(p, "PIVOTS", 2)
-    compare(spark, varied(random.Random(hot * size), 110, 0), size, percent)
+    compare(spark, varied(random.Random(hot * size), 110, 0), size, percent, chunked=True)
 
 
 @pytest.mark.parametrize(("size", "percent", "base", "tail"), [(3, 90, 102, 10), (5, 80, 104, 22)])
@@ -130,7 +135,6 @@ def test_forty_copies_with_a_tail_of_equal_length(spark, size, percent, base, ta
 
 def test_a_family_of_many_classes(spark, monkeypatch):
     """10,000 different copies of one text: their components cost no square."""
-    monkeypatch.setattr(p, "CHUNK_SETS", 500)
     words = [f"b{i}" for i in range(80)]
     rows = [(i, " ".join([*words, f"t{i}"])) for i in range(10_000)] + [(20_000 + i, " ".join([*words[:40], *(f"u{i}_{j}" for j in range(40))])) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -187,8 +191,9 @@ def test_prefix_guarantee():
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.05], rng.integers(0, 2**63, 2).astype(np.uint64)]))
         inter, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        pa, la = p.choose_prefix(a, logs, 1.0, 90)
-        pb, lb = p.choose_prefix(b, logs, 1.0, 90)
+        pa, la, often = p.choose_prefix(a, logs, 1.0, 90)
+        pb, lb, _ = p.choose_prefix(b, logs, 1.0, 90)
+        assert len(often) == len(pa)
         if 100 * inter >= 90 * union:
             assert len(np.intersect1d(pa, pb)) >= min(la, lb)
 
