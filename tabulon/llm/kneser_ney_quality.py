@@ -165,7 +165,7 @@ class HashTable:
 
     @staticmethod
     def of(keys: np.ndarray, values: np.ndarray) -> HashTable:
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) / 0.7))))
         table_, held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
         made = HashTable(table_, held, 64 - bits)
         at, left = made.home(keys), np.arange(len(keys))
@@ -199,7 +199,18 @@ class HashTable:
         return out, there
 
 
+#: For each order, lowest first: keys with log p, and contexts with log back.
+Raw = list[tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]
 Model = list[tuple[HashTable, HashTable]]
+_made: list = [None, None]
+
+
+def made(raw: Raw) -> Model:
+    """The hash tables of a model, made once in each worker: the driver holds and
+    sends keys and values alone."""
+    if _made[0] is not raw:
+        _made[:] = raw, [(HashTable.of(*p), HashTable.of(*back)) for p, back in raw]
+    return _made[1]
 
 
 def units(value: str) -> Column:
@@ -210,11 +221,11 @@ def units(value: str) -> Column:
 EVEN = round(float(np.log(1 / SYMBOLS)) * UNIT)
 
 
-def lookup_model(orders: list[DataFrame]) -> Model:
-    """Hash tables of log p by key and log back by context, lowest order first."""
-    def held(df: DataFrame, key: str, value: str) -> HashTable:
-        pdf = df.select(key, units(value).alias("v")).toPandas()
-        return HashTable.of(pdf[key].to_numpy(), pdf["v"].to_numpy())
+def lookup_model(orders: list[DataFrame]) -> Raw:
+    """log p by key and log back by context, lowest order first."""
+    def held(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.select(key, units(value).alias("v")).toArrow()  # twelve bytes a row
+        return rows[key].to_numpy(), rows["v"].to_numpy()
 
     return [(held(df, "key", "p"), held(df.groupBy("ctx").agg(F.first("back").alias("back")), "ctx", "back")) for df in orders]
 
@@ -240,7 +251,7 @@ def perplexity(total: str, count: str) -> Column:
     return F.exp(-F.col(total) / (F.col(count) * F.lit(float(UNIT))))
 
 
-def by_lookup(docs: DataFrame, model: Model) -> DataFrame:
+def by_lookup(docs: DataFrame, model: Raw) -> DataFrame:
     """docs (with ``_text``) and ``perplexity``, from tables held by the workers."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -253,7 +264,7 @@ def by_lookup(docs: DataFrame, model: Model) -> DataFrame:
             out = np.zeros((2, len(texts)), np.int64)
             if there.any():
                 keys, starts = packed([as_bytes(t) for t in texts[there]], top)
-                out[:, there] = np.add.reduceat(log_probability(keys, held.value), starts[:-1]), np.diff(starts)
+                out[:, there] = np.add.reduceat(log_probability(keys, made(held.value)), starts[:-1]), np.diff(starts)
             yield pd.DataFrame({"s": out[0], "n": out[1]})
 
     told = docs.withColumn("_sum", scored(F.col("_text")))
