@@ -56,9 +56,9 @@ def distinct_keys(c: str) -> Column:
     return F.countDistinct(c)
 
 
-#: Values up to which a median is one aggregate, which holds every distinct value in
-#: one task; beyond, the search below is used.
-SMALL = 20_000
+#: Distinct values (estimated) up to which a median is one aggregate, which holds each
+#: of them with its count in one task; beyond, the search below is used.
+SMALL = 200_000
 
 
 def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[str, float | None]:
@@ -67,17 +67,25 @@ def medians(frame: DataFrame, columns: list[str], small: int = SMALL) -> dict[st
     Sketches of fixed size bracket the middle ranks, one pass counts what lies at
     and under the bracket's ends, and brackets shrink until few enough values are
     left to sort."""
-    counts = frame.agg(*[F.count(c).alias(c) for c in columns]).first()
-    out: dict[str, float | None] = {c: None for c in columns if not counts[c]}
-    few = [c for c in columns if 0 < counts[c] <= small]
+    return searched(frame, columns, frame.agg(*sizes(columns)).first(), small)
+
+
+def sizes(columns: list[str]) -> list[Column]:
+    """What the choice of a way to the median needs: counts, and estimates of distinct values."""
+    return [f for c in columns for f in (F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}"))]
+
+
+def searched(frame: DataFrame, columns: list[str], told, small: int) -> dict[str, float | None]:
+    out: dict[str, float | None] = {c: None for c in columns if not told[f"n_{c}"]}
+    few = [c for c in columns if told[f"n_{c}"] and told[f"d_{c}"] <= small]
     if few:
         out |= frame.agg(*[F.median(c).alias(c) for c in few]).first().asDict()
-    sought = [Rank(c, k, counts[c]) for c in columns if counts[c] > small for k in dict.fromkeys(((counts[c] - 1) // 2, counts[c] // 2))]
+    many = [c for c in columns if told[f"n_{c}"] and c not in few]
+    sought = [Rank(c, k, told[f"n_{c}"]) for c in many for k in dict.fromkeys(((told[f"n_{c}"] - 1) // 2, told[f"n_{c}"] // 2))]
     select_ranks(frame, sought, small)
-    for c in columns:
-        if counts[c] > small:
-            found = [float(r.value) for r in sought if r.column == c]
-            out[c] = sum(found) / len(found)
+    for c in many:
+        found = [float(r.value) for r in sought if r.column == c]
+        out[c] = sum(found) / len(found)
     return out
 
 
@@ -126,23 +134,30 @@ def select_ranks(frame: DataFrame, sought: list[Rank], small: int) -> None:
             values = [F.element_at(F.sort_array(F.collect_list(F.when(r.inside(), F.col(r.column)))), r.rank - r.under + 1) for r in few]
             for r, v in zip(few, frame.agg(*[v.alias(f"v{i}") for i, v in enumerate(values)]).first(), strict=True):
                 r.value = v
-        wide = [r for r in open_ if r.value is None]
+        # ranks of one bracket, the two of an even number, share its sketch and counts
+        wide: dict[tuple, list[Rank]] = {}
+        for r in open_:
+            if r.value is None:
+                wide.setdefault((r.column, r.low, r.high), []).append(r)
         if not wide:
             return
         asked = []
-        for i, r in enumerate(wide):
-            at, gap = r.rank - r.under, r.held / 1_000 + 1
-            shares = [min(1.0, max(0.0, (at - gap) / r.held)), min(1.0, (at + gap) / r.held)]
+        for i, group in enumerate(wide.values()):
+            r = group[0]
+            first, last, gap = min(x.rank for x in group) - r.under, max(x.rank for x in group) - r.under, r.held / 1_000 + 1
+            shares = [min(1.0, max(0.0, (first - gap) / r.held)), min(1.0, (last + gap) / r.held)]
             asked.append(F.percentile_approx(F.when(r.inside(), F.col(r.column)), shares, 2_000).alias(f"p{i}"))
         ends = frame.agg(*asked).first()
         counted = []
-        for i, r in enumerate(wide):
+        for i, group in enumerate(wide.values()):
+            r = group[0]
             c = F.col(r.column)
             for name, end in (("a", ends[i][0]), ("b", ends[i][1])):
                 counted += [F.count(F.when(r.inside() & (c < F.lit(end)), 1)).alias(f"lt{name}{i}"), F.count(F.when(r.inside() & (c <= F.lit(end)), 1)).alias(f"le{name}{i}")]
         told = frame.agg(*counted).first()
-        for i, r in enumerate(wide):
-            r.narrow(ends[i][0], ends[i][1], told[f"lta{i}"], told[f"lea{i}"], told[f"ltb{i}"], told[f"leb{i}"])
+        for i, group in enumerate(wide.values()):
+            for r in group:
+                r.narrow(ends[i][0], ends[i][1], told[f"lta{i}"], told[f"lea{i}"], told[f"ltb{i}"], told[f"leb{i}"])
 
 
 def median_frame(frame: DataFrame, names: dict[str, str], small: int = SMALL) -> DataFrame:
@@ -152,15 +167,16 @@ def median_frame(frame: DataFrame, names: dict[str, str], small: int = SMALL) ->
 
 
 def summary(frame: DataFrame, columns: dict[str, DataType], small: int = SMALL) -> DataFrame:
-    """average, minimum, maximum and median of each column: one aggregation, and
-    the median search where there are many values."""
+    """average, minimum, maximum and median of each column: one aggregation, one for
+    the medians of columns with few distinct values, and the search for the others."""
     told = []
     for c, kind in columns.items():
         told += [average(c, kind).alias(f"{c}_avg"), minimum(c, kind).alias(f"{c}_min"), maximum(c, kind).alias(f"{c}_max")]
-    if frame.count() <= small:
-        return frame.agg(*told, *[median(c).alias(f"{c}_median") for c in columns])
-    found = medians(frame, list(columns), small)
-    return frame.agg(*told).withColumns({f"{c}_median": F.lit(v).cast("double") for c, v in found.items()})
+    names = list(columns)
+    first = frame.agg(*told, *sizes(names)).first()
+    found = searched(frame, names, first, small)
+    kept = [f.alias(f"{c}_{what}") for c in columns for what, f in (("avg", F.lit(first[f"{c}_avg"]).cast("double")), ("min", F.lit(first[f"{c}_min"]).cast(frame.schema[c].dataType)), ("max", F.lit(first[f"{c}_max"]).cast(frame.schema[c].dataType)), ("median", F.lit(found[c]).cast("double")))]
+    return frame.sparkSession.range(1).select(*kept)
 
 
 def run_between(values, least: int, most: int, low: int, high: int) -> tuple[int, int, int]:
