@@ -290,7 +290,8 @@ def by_joins(docs: DataFrame, orders: list[DataFrame]) -> DataFrame:
     done = None
     for n in range(top, 0, -1):
         own = orders[n - 1]
-        joined = left.join(own.select("key", units("p").alias("_p")), "key", "left")
+        # written, for both what is found and what is missing are read from it
+        joined = written(left.join(own.select("key", units("p").alias("_p")), "key", "left"), f"lm-met-{n}")
         hits = joined.where(F.col("_p").isNotNull()).select("doc", "hash", (F.col("n") * (F.col("logp") + F.col("_p"))).alias("s"), "n")
         done = hits if done is None else done.unionByName(hits)
         backs = own.groupBy(F.col("ctx").alias("_ctx")).agg(F.first(units("back")).alias("_back"))
