@@ -31,10 +31,10 @@ def bounds_under(bounds: list[Column], key: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
 
 
-def with_positions(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_positions(df: DataFrame, order: list[str], bucket_rows: int = BUCKET_ROWS, rows: int | None = None) -> DataFrame:
     """df with _pos. ``order`` should tell all rows apart; rows it does not are
-    numbered in no fixed order."""
-    rows = df.count()
+    numbered in no fixed order. ``rows`` is df's count where it is known."""
+    rows = df.count() if rows is None else rows
     buckets = min(MOST_BUCKETS, -(-rows // bucket_rows))
     if buckets <= 1:
         return df.withColumn(POS, F.row_number().over(Window.orderBy(*order)).cast("long") - F.lit(1))

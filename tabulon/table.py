@@ -234,15 +234,16 @@ class Table:
                 if found[f"c{i}"]:
                     raise TableError.NullValue(column=spec.name) if null else TableError.TypeMismatch(column=spec.name, expected=str(spec.data_type), actual="a value out of range")
         guarded = frame if validate else _guarded(frame, schema)
+        rows = frame.count()
         keep = [c for c in order if c not in schema.names]
         own = {f"_extra{i}": text.cast("string") for i, (text, _) in enumerate(extras.values())}
-        placed = with_positions(guarded.select(*schema.names, *keep, *[text.alias(c) for c, text in own.items()]), order).drop(*keep)
+        placed = with_positions(guarded.select(*schema.names, *keep, *[text.alias(c) for c, text in own.items()]), order, rows=rows).drop(*keep)
         cells = [F.col(c.name).cast(c.data_type.spark).alias(c.name, metadata=c.field().metadata) for c in schema]
         if not schema.is_open:
-            return Table(placed.select(*cells, POS), schema)
+            return Table(placed.select(*cells, POS), schema, rows)
         entries = [F.struct(F.lit(name).alias("key"), F.struct(F.lit(kind.label).alias("type"), F.col(c).alias("text")).alias("value")) for c, (name, (_, kind)) in zip(own, extras.items(), strict=True)]
         made = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"]["text"].isNotNull())) if entries else F.create_map()
-        return Table(placed.select(*cells, POS, made.cast(EXTRAS_TYPE).alias(EXTRAS)), schema)
+        return Table(placed.select(*cells, POS, made.cast(EXTRAS_TYPE).alias(EXTRAS)), schema, rows)
 
     # meta
 
