@@ -54,8 +54,13 @@ from tabulon.llm.shared import bounded_batches, join_counted, table, written
 
 #: Classes of one token that still give pairs; candidates of l worth trying.
 HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
-#: The sketch: counters, each one byte on the workers (16 MB, whatever the input).
-SKETCH_BITS, SLICE_BITS = 24, 18
+#: Shingles are counted in up to 2**FINE_BITS buckets, at least two for each, 2**SLICE_BITS
+#: of them in a task at a time. A byte of the sketch has the largest count of
+#: 2**GROUP_BITS neighbours: at most 2**SKETCH_BITS bytes (64 MB) on a worker.
+FINE_BITS, SLICE_BITS, GROUP_BITS = 30, 22, 4
+SKETCH_BITS = FINE_BITS - GROUP_BITS
+#: Shingles whose counts are sent at once, and bytes of text that a shingle has, about.
+SENT_SHINGLES, SHINGLE_BYTES = 4_000_000, 6
 #: log2 of the count from which a token is counted before it is dealt: the sketch
 #: bounds the classes of every other one, so no task gets more than 2**(OFTEN + 1)
 #: rows of one token.
@@ -188,35 +193,76 @@ def least_shared(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, byte by byte; the first byte is the width."""
+    steps = np.diff(at, prepend=at.dtype.type(0))
+    wide = 2 if not len(steps) or steps.max() < 1 << 16 else 4
+    return zlib.compress(bytes([wide]) + steps.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes(), 1)
+
+
+def unpacked_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers that were packed, and how often each was."""
+    raw = zlib.decompress(data)
+    wide = raw[0]
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=1).reshape(wide, -1).T).view(f"<u{wide}").ravel()
+    at = np.cumsum(steps, dtype=np.int64)
+    first = np.flatnonzero(np.concatenate([[True], steps[1:] > 0])) if len(at) else np.zeros(0, np.int64)
+    return at[first], np.diff(np.append(first, len(at)))
+
+
+def fine_bits(docs: DataFrame) -> int:
+    """Bits that number two buckets or more for each shingle, from SLICE_BITS to FINE_BITS."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return min(FINE_BITS, max(SLICE_BITS, (total // SHINGLE_BYTES).bit_length() + 1))
+
+
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """log2 of the count of each of 2**SKETCH_BITS buckets of shingles, over all
-    texts. Tasks send compressed slices of counters; each slice is summed as its
-    parts stream by."""
-    slices, width = 1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS
+    """log2 of the largest count of each group of buckets of shingles, over all texts.
+    A shingle's bucket is its hash's upper bits, so none is counted as rarer than it
+    is, and a rare one is counted as common only if a common one shares its group.
+    Tasks send numbers of buckets by slices; each slice is summed on its own."""
+    bits = fine_bits(docs)
+    slices = 1 << (bits - SLICE_BITS)
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(slices * width, np.uint8)
+        held: list[np.ndarray] = []
+
+        def sent() -> pd.DataFrame:
+            at = np.sort(np.concatenate(held))
+            bounds = np.searchsorted(at >> np.uint32(SLICE_BITS), np.arange(slices + 1))
+            held.clear()
+            there = [i for i in range(slices) if bounds[i] < bounds[i + 1]]
+            return pd.DataFrame({"slice": there, "data": [packed(at[bounds[i] : bounds[i + 1]] & np.uint32((1 << SLICE_BITS) - 1)) for i in there]})
+
         for pdf in batches:
-            sets = shingle_sets([t if isinstance(t, str) else None for t in pdf["text"]], size)
-            if sets:
-                at, n = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_counts=True)
-                total[at] = np.minimum(255, total[at].astype(np.int64) + n).astype(np.uint8)
-        for i, part in enumerate(total.reshape(slices, width)):
-            if part.any():
-                yield pd.DataFrame({"slice": [i], "data": [zlib.compress(part.tobytes(), 1)]})
+            for u in shingle_sets([t if isinstance(t, str) else None for t in pdf["text"]], size):
+                held.append((u >> np.uint64(64 - bits)).astype(np.uint32))
+            if sum(map(len, held)) >= SENT_SHINGLES:
+                yield sent()
+        if held:
+            yield sent()
 
     def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        now, total = None, np.zeros(1 << SLICE_BITS, np.uint32)
+
+        def done() -> pd.DataFrame:
+            most = total.reshape(-1, 1 << GROUP_BITS).max(axis=1)
+            return pd.DataFrame({"slice": [now], "data": [zlib.compress(np.log2(np.maximum(most, 1)).astype(np.uint8).tobytes(), 1)]})
+
         for pdf in batches:
             for i, data in zip(pdf["slice"], pdf["data"], strict=True):
-                sums.setdefault(i, np.zeros(width, np.int64))
-                sums[i] += np.frombuffer(zlib.decompress(data), np.uint8)
-        for i, s in sums.items():
-            yield pd.DataFrame({"slice": [i], "data": [zlib.compress(np.log2(np.maximum(s, 1)).astype(np.uint8).tobytes(), 1)]})
-
-    parts = docs.select("text").mapInPandas(count, "slice int, data binary").repartition(min(slices, 16), "slice").mapInPandas(add, "slice int, data binary")
-    out = np.zeros((slices, width), np.uint8)
-    for row in parts.toLocalIterator():
+                if now is not None and i != now:
+                    yield done()
+                    total[:] = 0
+                now = i
+                at, n = unpacked_counts(data)
+                total[at] += n.astype(np.uint32)
+        if now is not None:
+            yield done()
+
+    parts = docs.select("text").mapInPandas(count, "slice int, data binary").repartition(min(slices, shuffle_parts(docs.sparkSession)), "slice")
+    out = np.zeros((slices, 1 << (SLICE_BITS - GROUP_BITS)), np.uint8)
+    for row in parts.sortWithinPartitions("slice").mapInPandas(add, "slice int, data binary").collect():
         out[row["slice"]] = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
     return out.ravel()
 
@@ -227,7 +273,7 @@ def choose_prefix(u: np.ndarray, logs: np.ndarray, usual: float, percent: int) -
     n = len(u)
     if n == 0:
         return u, 1, np.zeros(0, bool)
-    rarity = logs[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    rarity = logs[(u >> np.uint64(65 - len(logs).bit_length())).astype(np.int64)]
     order = np.argsort(rarity, kind="stable")
     base = n - int(least_shared(n, percent))
     # a token's candidates: what its bucket holds above the usual
@@ -255,7 +301,8 @@ def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> Dat
     the set), level, prefix, often."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(logs)
-    usual = 2.0 * float(np.mean(2.0 ** logs.astype(np.float64))) + 2.0
+    levels = np.bincount(logs)
+    usual = 2.0 * float((2.0 ** np.arange(len(levels)) * levels).sum() / len(logs)) + 2.0
 
     def told(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -203,3 +203,35 @@ def test_components_of_a_long_path(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rare_shingles_are_told_from_common_ones_where_buckets_are_full(spark, monkeypatch):
+    """600,000 shingles on a sketch of 16,384 bytes: 37 to a byte, as many as would make
+    a token hot. Rare ones still look rare, and those of 40 texts do not."""
+    for name, bits in (("SKETCH_BITS", 14), ("SLICE_BITS", 14), ("FINE_BITS", 18), ("GROUP_BITS", 4)):
+        monkeypatch.setattr(p, name, bits, raising=False)
+    often = [" ".join(f"c{k}_{j}" for j in range(5)) for k in range(20)]
+    rows = [(i, " ".join([*(f"w{i}_{j}" for j in range(400)), *(often[k] for k in range(20) if i % 37 == k)])) for i in range(1500)]
+    logs = p.sketch(spark.createDataFrame(rows, "doc_id long, text string"), 3)
+    assert len(logs) == 1 << 14
+
+    def rarity(texts):
+        return logs[(np.concatenate(p.shingle_sets(texts, 3)) >> np.uint64(65 - len(logs).bit_length())).astype(np.int64)]
+
+    assert rarity(often).min() >= 5
+    assert (rarity([t for _, t in rows[20:37]]) < 4).mean() > 0.95
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for top, n in ((1 << 22, 50_000), (1 << 22, 12), (40, 500), (1 << 22, 1), (1, 3)):
+        at = np.sort(rng.integers(0, top, n)).astype(np.uint32)
+        found, counts = p.unpacked_counts(p.packed(at))
+        assert (np.repeat(found, counts) == at).all() and (np.diff(found) > 0).all()
+
+
+def test_buckets_grow_with_the_texts(spark):
+    one = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    assert p.fine_bits(one) == p.SLICE_BITS and p.fine_bits(one.limit(0)) == p.SLICE_BITS
+    many = spark.range(2000).selectExpr("id AS doc_id", "repeat('abcde ', 5000) AS text")
+    assert p.fine_bits(many) == (10_000_000).bit_length() + 1
