@@ -33,18 +33,16 @@ from tabulon.llm.shared import table, written
 #: Rows of one cell that share a bucket, about; and buckets of a cell at most, for
 #: their counts are summed in one task.
 BUCKET_ROWS, CELL_BUCKETS = 512, 1 << 16
-#: Distinct texts that are looked at to cut a dimension. Of more, those with the
-#: lowest hashes stand for the rest, with the rows of their own; only bounds depend
-#: on them, every row is placed.
+#: Distinct texts of a dimension up to which the driver sums their rows; more are
+#: summed in ranges, by the same rule.
 BOUND_VALUES = 20_000
 
 
 def text_bounds(rows: DataFrame, name: str, cells: int) -> list[str]:
     """At most cells - 1 values that cut the rows' texts into parts of even weight."""
     counts = written(rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("_n")), "texts").withColumnRenamed(name, "_v")
-    several = counts.count()
-    if several > BOUND_VALUES:
-        counts = counts.where(F.pmod(F.xxhash64("_v"), F.lit(-(-several // BOUND_VALUES))) == 0).orderBy(F.xxhash64("_v"), "_v").limit(2 * BOUND_VALUES)
+    if counts.limit(BOUND_VALUES + 1).count() > BOUND_VALUES:
+        return many_bounds(counts, cells)
     values = sorted((r["_v"].encode("utf-8", "surrogatepass"), r["_n"]) for r in counts.collect())
     total, seen, out = sum(n for _, n in values), 0, []
     for v, n in values:
@@ -55,6 +53,21 @@ def text_bounds(rows: DataFrame, name: str, cells: int) -> list[str]:
     return out
 
 
+def many_bounds(counts: DataFrame, cells: int) -> list[str]:
+    """The same cuts of any number of distinct texts (_v) and their rows (_n): ranges of
+    texts are summed, then texts within their range. Spark orders texts by their bytes."""
+    parts = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(counts.repartitionByRange(parts, "_v").withColumn("_range", F.spark_partition_id()), "text-ranges")
+    sums = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.sum("_n").alias("n")).collect())
+    total = sum(n for _, n in sums)
+    starts = [(r, sum(n for _, n in sums[:i])) for i, (r, _) in enumerate(sums)]
+    known = F.broadcast(counts.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = ranged.join(known, "_range").withColumn("_before", F.col("_start") + before).withColumn("_seen", F.col("_before") + F.col("_n"))
+    cut = summed.where(F.expr(f"(_seen * {cells}L) div {total}L > (_before * {cells}L) div {total}L and _seen < {total}L"))
+    return [r["_v"] for r in cut.select("_v", "_seen").orderBy("_seen").collect()]
+
+
 def quantised(value: Column, bounds: list) -> Column:
     """How many bounds lie under the value; bounds are at most 2**bits - 1 values."""
     if not bounds:

@@ -127,3 +127,12 @@ def test_query_equals_brute_force(spark, sf_dir):
     along = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     assert [r["hilbert"] for r in along] == sorted(want.values())
     assert [r["shard"] for r in along] == [i * 40 // n for i in range(n)]
+
+
+def test_bounds_of_many_texts_come_from_all_of_them(spark, monkeypatch):
+    """More distinct texts than the driver sums: the same bounds, from every row."""
+    texts = [f"{i:05d}" for i in range(3000)] + [f"é{i}" for i in range(200)] + ["02222"] * 2500 + ["\U0001f600", "￿", ""]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "v string")
+    want = h.text_bounds(rows, "v", 32)
+    monkeypatch.setattr(h, "BOUND_VALUES", 100)
+    assert h.text_bounds(rows, "v", 32) == want
