@@ -235,3 +235,20 @@ def test_buckets_grow_with_the_texts(spark):
     assert p.fine_bits(one) == p.SLICE_BITS and p.fine_bits(one.limit(0)) == p.SLICE_BITS
     many = spark.range(2000).selectExpr("id AS doc_id", "repeat('abcde ', 5000) AS text")
     assert p.fine_bits(many) == (10_000_000).bit_length() + 1
+
+
+def test_common_phrases_make_no_families_where_buckets_are_full(spark, monkeypatch):
+    """1,500 texts unlike each other, each with 20 phrases that 25 of them have, on a
+    sketch of 38 shingles to a byte: no texts are compared for the phrases' sake."""
+    for name, bits in (("SKETCH_BITS", 14), ("SLICE_BITS", 14), ("FINE_BITS", 18), ("GROUP_BITS", 4)):
+        monkeypatch.setattr(p, name, bits, raising=False)
+    rng = random.Random(4)
+    phrases = [k for k in range(1200) for _ in range(25)]
+    rng.shuffle(phrases)
+    rows = [(i, " ".join([*(f"w{i}_{j}" for j in range(320)), *(w for k in set(phrases[20 * i : 20 * i + 20]) for w in [f"s{i}_{k}", *(f"c{k}_{j}" for j in range(5))])])) for i in range(1500)]
+    met = []
+    plain = p.Meetings.compared
+    monkeypatch.setattr(p.Meetings, "compared", lambda self, rows: met.append(rows.count()) or plain(self, rows))
+    got = p.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, links=False).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 1500
+    assert sum(met) < 50
