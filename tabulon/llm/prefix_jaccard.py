@@ -9,7 +9,7 @@ tokens (the smaller l of the two) before it is verified.
 
 1. Texts become sets of shingle hashes; equal sets are one class from here on.
 2. Prefix tokens meet by token. Up to ``HOT`` classes of one token give pairs,
-   summed by pair. More give no pairs: the token is hot. Tokens that the sketch
+   summed by pair; where one shared token is enough, a chain of them. More give no pairs: the token is hot. Tokens that the sketch
    says are in very many texts are counted first, so a hot one's classes, be they
    a third of all, never come to one task. With h hot tokens in
    its prefix a pair must still share l - h others. A class with its own l hot
@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.components import FEW_FILES, components
-from tabulon.llm.shared import bounded_batches, join_counted, table, written
+from tabulon.llm.shared import bounded_batches, forgotten, join_counted, shuffles_dropped, table, written
 
 #: Classes of one token that still give pairs; candidates of l worth trying.
 HOT, LEVELS = 24, (1, 2, 3, 4, 6, 8)
@@ -70,6 +70,8 @@ CHUNK_SHINGLES, CHUNK_SETS = 250_000, 800
 #: Classes of a chunk where components alone are asked for: small chunks cost nothing
 #: there, for no two are compared with each other unless they are apart.
 ALONE_SETS = 240
+#: Chunks that meet everything are about so many, as far as ALONE_SETS and CHUNK_SETS let them.
+GROWN_CHUNKS = 8
 #: Classes of a family that all others are compared with first.
 PIVOTS = 8
 #: Rows of hot tokens (16 bytes each) up to which their keys are broadcast.
@@ -321,23 +323,59 @@ def set_table(docs: DataFrame, logs: np.ndarray, size: int, percent: int) -> Dat
     return docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text").mapInPandas(told, "doc_id long, text_id long, n int, sid long, check long, level int, prefix array<long>, often array<boolean>")
 
 
+def runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start, and their lengths."""
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(t)))
+
+
+def near_sizes(n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n[a], n[b]).astype(np.int64) >= percent * np.maximum(n[a], n[b]).astype(np.int64)
+
+
+def chained(t: np.ndarray, n: np.ndarray, one: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that make the same components as all pairs of near sizes, of one token,
+    of which a class has level 1: each class with the next smaller one of level 1, and
+    with the next larger one if it has another level itself. Rows come by t, then n."""
+    at = np.arange(len(t))
+    below = np.append(-1, np.maximum.accumulate(np.where(one, at, -1)))[: len(t)]
+    above = np.minimum.accumulate(np.where(one, at, len(t))[::-1])[::-1]
+    a = np.concatenate([at[below >= 0], at[~one & (above < len(t))]])
+    b = np.concatenate([below[below >= 0], above[~one & (above < len(t))]])
+    fit = (t[a] == t[b]) & near_sizes(n, a, b, percent)
+    return a[fit], b[fit]
+
+
+def all_pairs(t: np.ndarray, n: np.ndarray, more: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of near sizes, of one token, of two classes of more levels than one."""
+    rows = np.flatnonzero(more)
+    starts, sizes = runs(t[rows])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for m in np.unique(sizes[sizes > 1]):
+        at = starts[sizes == m]
+        i, j = np.triu_indices(m, 1)
+        found.append((rows[(at[:, None] + i).ravel()], rows[(at[:, None] + j).ravel()]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    fit = near_sizes(n, a, b, percent)
+    return a[fit], b[fit]
+
+
 def meetings(batches: Iterable[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     """Pairs (a, b, level) of the classes of each token, or the classes of a hot
-    token (a, b = token, level = 0). Rows come sorted by token; of a token that
+    token (a, b = token, level = 0). A pair of level 1 needs no other token, so of
+    those only as many are given as tie the same classes together. Rows come sorted by token; of a token that
     goes on into the next batch at most HOT + 1 rows are carried."""
     columns = ["token", "sid", "n", "level"]
     carry, hot_token = None, None
 
     def flush(t: np.ndarray, s: np.ndarray, n: np.ndarray, lv: np.ndarray) -> list[pd.DataFrame]:
         out = []
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(t)))
-        for m in np.unique(sizes[(sizes > 1) & (sizes <= HOT)]):
-            at = starts[sizes == m]
-            i, j = np.triu_indices(m, 1)
-            a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            fit = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[fit], b[fit]
+        starts, sizes = runs(t)
+        group = np.repeat(sizes, sizes)
+        few = np.flatnonzero((group > 1) & (group <= HOT))
+        few = few[np.lexsort((s[few], n[few], t[few]))]
+        for a, b in (chained(t[few], n[few], lv[few] == 1, percent), all_pairs(t[few], n[few], lv[few] > 1, percent)):
+            a, b = few[a], few[b]
             out.append(pd.DataFrame({"a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b]), "level": np.minimum(lv[a], lv[b])}))
         hot = np.repeat(sizes > HOT, sizes)
         if hot.any():
@@ -442,8 +480,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, links:
     """doc_id, n_shingles, component_id and, with ``links``, n_links for docs
     (doc_id, text): the connected components of documents whose shingle sets have a
     Jaccard similarity of ``percent`` hundredths or more."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
+    with shuffles_dropped(docs.sparkSession):
+        return _similar_components(docs, size, percent, links)
+
+
+def _similar_components(docs: DataFrame, size: int, percent: int, links: bool) -> DataFrame:
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     sets = written(set_table(docs, sketch(docs, size), size, percent), "sets")
     classes = written(
@@ -452,7 +494,12 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80, links:
     )
     if not classes.where(F.col("check") != F.col("_check")).isEmpty():
         raise RuntimeError("two different sets share a 64-bit hash: change the seed")
+    # prefixes are most of both tables: each is kept without them once they have been read
+    wide, sets = sets, written(sets.select("doc_id", "text_id", "n", "sid"), "sets-narrow")
+    forgotten(wide)
     family = written(components(candidates(classes, percent)), "families")
+    wide, classes = classes, written(classes.select("sid", "doc_id", "text_id", "copies", "n"), "classes-narrow")
+    forgotten(wide)
     members = family.join(classes.select(F.col("sid").alias("node"), "doc_id", "text_id", "copies", "n"), "node").select(F.col("node").alias("sid"), F.col("root").alias("family"), "doc_id", "text_id", "copies", "n")
     members = written(dealt(members, "chunks", "chunk", CHUNK_SETS if links else ALONE_SETS), "members")
     # of a row that is there several times one is taken; narrow rows tell whether there are any
@@ -522,10 +569,13 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(stars)
 
 
-def dealt(members: DataFrame, chunks: str, chunk: str, sets: int) -> DataFrame:
+def dealt(members: DataFrame, chunks: str, chunk: str, sets: int | None = None) -> DataFrame:
     """members with the number of chunks of their family, of ``sets`` classes at
-    most or so, and their own."""
-    widths = written(members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(sets))).cast("int").alias(chunks)), "widths")
+    most or so, and their own. Without ``sets`` chunks grow with the family, from
+    ALONE_SETS to CHUNK_SETS: texts that meet every chunk are sent once for each."""
+    held = F.count(F.lit(1))
+    most = F.lit(sets) if sets else F.least(F.lit(CHUNK_SETS), F.greatest(F.lit(ALONE_SETS), F.floor(held / F.lit(GROWN_CHUNKS))))
+    widths = written(members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(held / most)).cast("int").alias(chunks)), "widths")
     return members.join(widths, "family").withColumn(chunk, F.pmod(F.xxhash64("sid"), F.col(chunks)).cast("int"))
 
 
@@ -591,20 +641,18 @@ def apart(told: DataFrame, members: DataFrame, meet: Meetings) -> DataFrame:
     rest = placed.where("_part <> _main").drop("_part", "_main")
     if rest.isEmpty():
         return links
-    rest = written(dealt(rest.drop("chunks", "chunk"), "_parts", "_own", ALONE_SETS).join(widths_of(wide), "family"), "rest")
-    main = placed.where("_part = _main").join(written(rest.select("family", "_parts").distinct(), "rest-parts"), "family")
+    rest = written(dealt(rest, "_parts", "_own"), "rest")
+    main = dealt(placed.where("_part = _main").drop("_part", "_main"), "_mains", "_at")
+    main = written(main.join(written(rest.select("family", "_parts").distinct(), "rest-parts"), "family"), "main")
+    rest = rest.join(written(main.select("family", "_mains").distinct(), "main-parts"), "family")
     columns = ["family", "i", "j", "sid", "chunk", "chunks", "copies", "text"]
     ours = meet.texts(rest).withColumn("chunk", F.col("_own"))
     among = _paired(ours, "_own", "_parts").select(columns)
-    against = ours.withColumn("i", F.col("_own")).withColumn("j", F.explode(F.sequence(F.lit(MAIN), F.col("chunks") + F.lit(MAIN - 1)))).select(columns)
-    others = meet.texts(main).withColumn("j", F.col("chunk") + F.lit(MAIN)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("chunk", F.col("j")).select(columns)
+    against = ours.withColumn("i", F.col("_own")).withColumn("j", F.explode(F.sequence(F.lit(MAIN), F.col("_mains") + F.lit(MAIN - 1)))).select(columns)
+    others = meet.texts(main).withColumn("j", F.col("_at") + F.lit(MAIN)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("chunk", F.col("j")).select(columns)
     return links.unionByName(_edges(meet.compared(among.unionByName(against).unionByName(others))))
 
 
-def widths_of(members: DataFrame) -> DataFrame:
-    return members.select("family", "chunks").distinct()
-
-
 def op5_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at 0.9 on three-word shingles, and, as this is a
     join, each document's number of links."""

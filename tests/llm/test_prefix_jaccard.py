@@ -1,6 +1,8 @@
 import random
 import re
 from itertools import combinations
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -9,6 +11,7 @@ from oracle import connection, same
 
 from tabulon.llm import prefix_jaccard as p
 from tabulon.llm.components import components
+from tabulon.llm.shared import session_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -252,3 +255,44 @@ def test_common_phrases_make_no_families_where_buckets_are_full(spark, monkeypat
     got = p.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, links=False).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == 1500
     assert sum(met) < 50
+
+
+def test_few_pairs_tie_the_classes_of_a_token_together():
+    rng = np.random.default_rng(5)
+    rows = [(token, sid, int(rng.integers(10, 30)), int(rng.choice([1, 1, 2, 8]))) for token in range(200) for sid in rng.choice(10_000, rng.integers(1, p.HOT + 1), replace=False)]
+    pdf = pd.DataFrame(rows, columns=["token", "sid", "n", "level"])
+
+    def parts(pairs):
+        root = {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[top(a)] = top(b)
+        return {frozenset(x for x in root if top(x) == r) for r in map(top, list(root))}
+
+    for token, group in pdf.groupby("token"):
+        asked = [(a, b, min(a.level, b.level)) for a, b in combinations(group.itertuples(), 2) if 100 * min(a.n, b.n) >= 80 * max(a.n, b.n)]
+        found = pd.concat([pd.DataFrame(columns=["a", "b", "level"]), *p.meetings([group], 80)])
+        sure = found[found.level == 1]
+        assert parts(zip(sure.a, sure.b)) == parts((a.sid, b.sid) for a, b, level in asked if level == 1)
+        assert sorted(zip(*(found[found.level > 1][c] for c in ("a", "b", "level")))) == sorted((min(a.sid, b.sid), max(a.sid, b.sid), level) for a, b, level in asked if level > 1)
+        assert len(sure) <= 2 * len(group)
+    copies = pd.DataFrame({"token": 1, "sid": range(p.HOT), "n": 50, "level": 1})
+    assert sum(map(len, p.meetings([copies], 80))) == p.HOT - 1
+
+
+def test_tables_with_prefixes_are_gone_and_the_session_is_as_before(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7}") for i in range(40)], "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    folder = Path(urlparse(session_dir(spark)).path)
+    had = {x.name for x in folder.glob("*")}
+    got = {r["doc_id"]: r["component_id"] for r in p.similar_components(docs, 3, 90, links=False).collect()}
+    assert got == {i: i % 7 for i in range(40)}
+    left = {x.name for x in folder.glob("*")} - had
+    assert not [x for x in left if x.startswith(("sets-", "classes-")) and "narrow" not in x]
+    assert spark.conf.get(key, None) == before
